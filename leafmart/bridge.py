@@ -14,7 +14,7 @@ BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages",
     "benchmark", "labels", "conversations", "embeddings",
 ]
-EVENTS_AS_OF = "2024-01-31 00:00:00"
+EVENTS_AS_OF = "2024-01-30 12:00:00"
 PRODUCTS_AS_OF = "2001-08-01 00:00:00"
 
 # Tiers of the stand-in brands; 'brand#1' also proves that a prefix needs a word end ('brand#10').

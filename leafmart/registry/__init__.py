@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["offers"]
+AREAS = ["offers", "visitors"]
 
 
 def _areas():

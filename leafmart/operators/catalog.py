@@ -183,7 +183,7 @@ def subtype_breakdown(products: DataFrame) -> DataFrame:
     vapes = products.filter(F.col("is_active") & (F.col("category") == "vape"))
     return vapes.withColumn("_s", F.coalesce("product_subtype", F.lit("unclassified"))).groupBy(
         F.coalesce("brand", F.lit("Unknown")).alias("brand")).pivot(
-        "_s", ["disposable", "cartridge", "pod", "unclassified"]).agg(F.count("*")).na.fill(0)
+        "_s", ["disposable", "cartridge", "pod", "unclassified"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 VAPE_WORDS = r"(?i)\b(?:disposable|all[- ]?in[- ]?one|aio|cart|cartridge|pod|vape|pen)\b"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["offers", "visitors"]
+AREAS = ["offers", "visitors", "audits", "runs", "upkeep"]
 
 
 def _areas():

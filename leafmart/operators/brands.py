@@ -1,7 +1,7 @@
 """Brand detection as joins, fuzzy matching and discovery of new brand names.
 
-A brand in a text is found by an equi join of the text's word sequences with the dictionary instead of one regular
-expression per brand and row. Similar names are found by a prefix-filtered join on characters, never by comparing
+A brand in a text is found by an equi join of the text's words with the first words of the dictionary; only these
+candidates are tested with a pattern, instead of one regular expression per brand and row. Similar names are found by a prefix-filtered join on characters, never by comparing
 all pairs.
 """
 
@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmart.functions.text import CI
 from leafmart.operators.ranking import top_per_group
@@ -56,36 +57,25 @@ def blocked_brands(text: Column, blockers: list[tuple[str, str]] = STRAIN_BLOCKE
     return F.array_compact(F.array(*[F.when(text.rlike(CI + p), F.lit(b)) for p, b in blockers]))
 
 
-def word_grams(texts: DataFrame, text: str, max_words: int) -> DataFrame:
-    """Every sequence of 1 to ``max_words`` words as it stands in the text: ``gram`` (lower case) and ``pos``.
-
-    ``pos`` is exact for the first ten characters (only they change a score), else 10. A term that starts with a sign
-    ("&shine") is also offered with the signs that follow a blank.
-    """
-    runs = texts.withColumn("_runs", F.regexp_extract_all(F.col(text), F.lit(r"(?U)(\w+|\W+)"), F.lit(1)))
-    at = runs.select("*", F.posexplode("_runs").alias("_i", "_run")).filter(F.col("_run").rlike(r"(?U)^\w"))
-    sizes = F.array(*[F.lit(n) for n in range(1, max_words + 1)])
-    at = at.withColumn("_n", F.explode(F.filter(sizes, lambda n: F.col("_i") + n * 2 - 1 <= F.size("_runs"))))
-    words = F.array_join(F.slice("_runs", F.col("_i") + 1, F.col("_n") * 2 - 1), "")
-    before = F.when(F.col("_i") > 0, F.get("_runs", F.col("_i") - 1)).otherwise("")
-    signs = F.when((F.col("_i") == 1) | before.rlike(r"\s"), F.regexp_extract(before, r"(\S*)$", 1)).otherwise("")
-    head = F.when(F.col("_i") < 10, F.least(F.lit(10), F.length(F.array_join(F.slice("_runs", 1, F.col("_i")), "")))).otherwise(10)
-    at = at.withColumn("_plain", F.lower(words)).withColumn("_signs", signs)
-    grams = F.when(F.col("_signs") == "", F.array("_plain")).otherwise(F.array(F.col("_plain"), F.concat(F.lower("_signs"), F.col("_plain"))))
-    return at.withColumn("pos", head).withColumn("gram", F.explode(grams)).drop("_runs", "_i", "_run", "_n", "_plain", "_signs")
-
-
-def detect_brands(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", max_words: int = 5,
+def detect_brands(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text",
                   blockers: list[tuple[str, str]] = STRAIN_BLOCKERS) -> DataFrame:
     """Best brand per key of ``texts`` (only keys with a match): longest term, +100 when it starts in the first
-    three characters, +50 in the first ten; exact names go before variations of the same brand."""
-    usable = texts.filter(~F.lower(F.col(text)).startswith("none ")).withColumn("_blocked", blocked_brands(F.col(text), blockers))
-    hits = word_grams(usable.select(*keys, text, "_blocked"), text, max_words).drop(text).join(
-        terms, F.col("gram") == F.col("term")).filter(~F.array_contains("_blocked", F.col("canonical")))
-    # first place of each term, then the exact name or longest variation of each brand, then the best brand
+    three characters, +50 in the first ten; exact names go before variations of the same brand.
+
+    The distinct words of a text meet the dictionary on the first word of a term; only those few candidates are
+    tested with the term's own pattern. Nothing is shuffled before that test when the dictionary is small.
+    """
+    low = F.lower(F.col(text))
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"), F.lit(1)))
+    usable = texts.filter(~low.startswith("none ")).select(*keys, F.col(text).alias("_text"), F.explode(words).alias("_word"))
+    quoted = F.concat(F.lit(r"\Q"), F.col("term"), F.lit(r"\E\b"))
+    start = F.when(F.col("term").rlike(r"(?U)^\w"), F.lit(r"(?iU)\b")).otherwise(F.lit(r"(?iU)(?:^|\s)"))
+    book = terms.select("*", F.regexp_extract("term", r"(?U)(\w+)", 1).alias("_word"), F.concat(start, quoted).alias("_pattern"))
+    hits = usable.join(book, "_word").withColumn("pos", F.regexp_instr("_text", F.col("_pattern")) - 1).filter("pos >= 0")
+    hits = hits.withColumn("_blocked", blocked_brands(F.col("_text"), blockers)).filter(~F.array_contains("_blocked", F.col("canonical")))
     bonus = F.when(F.col("pos") < 3, 100).when(F.col("pos") < 10, 50).otherwise(0)
-    per_term = hits.groupBy(*keys, "canonical", "brand", "is_variation", "term").agg(F.min("pos").alias("pos"))
-    scored = per_term.withColumn("score", F.length("term") + bonus)
+    scored = hits.withColumn("score", F.length("term") + bonus)
+    # the exact name or longest variation of each brand, then the best brand
     per_brand = scored.groupBy(*keys, "canonical").agg(
         F.max_by(F.struct("brand", "score", "is_variation"), F.struct(-F.col("is_variation"), F.length("term"), "score")).alias("r"))
     best = top_per_group(per_brand.select(*keys, "canonical", "r.*").withColumn("_low", F.lower("canonical")), keys,
@@ -132,12 +122,12 @@ def label_brands(listings: DataFrame, terms: DataFrame, key: str, raw: str = "ra
     return hits.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "canonical"))), lambda x: x["canonical"]).alias("labels"))
 
 
-def resolve_brand(listings: DataFrame, terms: DataFrame, key: str = "id", max_words: int = 5) -> DataFrame:
+def resolve_brand(listings: DataFrame, terms: DataFrame, key: str = "id") -> DataFrame:
     """Brand per listing: scraped element, address, label line, name, card text; without a scraped element a label
     line that names another brand wins. Needs ``scraped_brand``, ``product_url``, ``raw_text``, ``name`` and ``card``."""
     sources = listings.select(key, F.posexplode(F.array("scraped_brand", "name", "card")).alias("_src", "text")).filter(
         F.coalesce("text", F.lit("")) != "")
-    found = detect_brands(sources, terms, [key, "_src"], max_words=max_words)
+    found = detect_brands(sources, terms, [key, "_src"])
     by_source = found.groupBy(key).agg(*[F.max(F.when(F.col("_src") == i, F.col("brand"))).alias(n)
                                          for i, n in enumerate(("_scraped", "_name", "_card"))])
     out = listings.join(by_source, key, "left").join(brands_from_url(listings, terms, key).withColumnRenamed("brand", "_url"), key, "left")
@@ -159,7 +149,7 @@ def name_head(name: Column) -> Column:
 # Similar names
 # ---------------------------------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; the only Python in this module, on candidate pairs of distinct names."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

@@ -45,7 +45,7 @@ def _number(col: str) -> Column:
     return t.number(F.col(col), r"([0-9.]+)")
 
 
-def parse_listings(raw: DataFrame, terms: DataFrame, max_words: int = 3) -> DataFrame:
+def parse_listings(raw: DataFrame, terms: DataFrame) -> DataFrame:
     """Typed listings: clean name, brand, category, prices, weight, strain, subtype and display name.
 
     ``raw`` has id, dispensary_id, name, raw_text, price, product_url, scraped_brand, scraped_category, source_platform.
@@ -54,10 +54,10 @@ def parse_listings(raw: DataFrame, terms: DataFrame, max_words: int = 3) -> Data
     df = t.with_clean_name(raw, "name", "_name").withColumn("_offer_free", t.strip_offer_text(F.col("raw_text")))
     df = df.withColumn("card", F.concat_ws(" ", "_name", "_offer_free"))
     df = df.drop("name").withColumnRenamed("_name", "name")
-    df = resolve_brand(df, terms, max_words=max_words)
+    df = resolve_brand(df, terms)
     df = resolve_category(df, "card", "name", "scraped_category", "category0")
     df = df.withColumn("_text", F.concat_ws(" ", "name", "_offer_free", "price"))
-    df = t.with_live_parse(df, "_text", "p_").filter(~F.col("p_refused"))
+    df = t.keep_rows(t.with_live_parse(df, "_text", "p_"), ~F.col("p_refused"))
     weight = _number("p_weight")
     unit = F.regexp_extract("p_weight", r"(mg|g)$", 1)
     df = df.withColumn("_w", weight).withColumn("_u", F.when(unit != "", unit))
@@ -129,14 +129,14 @@ def normalize_deal(df: DataFrame) -> DataFrame:
     name_value = t.number(F.col("_nw"), r"^([0-9.]+)")
     shifted = (F.col("category") == "flower") & (F.col("weight_value") < 1) & (F.abs(F.col("weight_value") * 10 - name_value) < 0.01)
     df = df.withColumn("_w1", F.when((F.col("_nw") != "") & ((F.col("_w0") == "") | shifted), F.col("_nw")).otherwise(F.col("_w0")))
-    df = df.withColumn("_fix", t.correct_weight(F.col("_w1"), F.lower(F.coalesce("category", F.lit("")))))
-    shown = F.concat(number_text(F.round(F.col("_fix.value"), 2)), F.col("_fix.unit"))
-    weight = F.when(F.col("_fix.was_corrected"), shown).otherwise(F.col("_w1"))
+    df = t.with_correct_weight(df.withColumn("_lc", F.lower(F.coalesce("category", F.lit("")))), "_w1", "_lc")
+    df = df.withColumn("_v", F.round("value", 2))
+    weight = F.when(F.col("was_corrected"), F.concat(number_text(F.col("_v")), F.col("unit"))).otherwise(F.col("_w1"))
     from_name = F.regexp_extract("name", r"^([A-Za-z][A-Za-z0-9'.& ]{1,20}?)\s*[-–—]", 1)
     brand = F.when((F.coalesce("brand", F.lit("")) != "") & (F.col("brand") != "Unknown"), F.col("brand")).when(from_name != "", F.trim(from_name)).otherwise("Unknown")
     valid = F.col("category").isin("flower", "preroll", "vape", "edible", "concentrate")
     return df.withColumns({"weight": weight, "brand_name": brand, "category": F.when(valid, F.col("category")).otherwise("flower")}).withColumn(
-        "brand_id", F.regexp_replace(F.lower("brand_name"), r"\s+", "-")).drop("_nw", "_w0", "_w1", "_fix")
+        "brand_id", F.regexp_replace(F.lower("brand_name"), r"\s+", "-")).drop("_nw", "_w0", "_w1", "_lc", "_v", "value", "unit", "is_valid", "was_corrected")
 
 
 def unit_price(price: Column, weight: Column, category: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["offers", "visitors", "audits", "runs", "upkeep"]
+AREAS = ["offers", "visitors", "audits", "runs", "upkeep", "texts"]
 
 
 def _areas():

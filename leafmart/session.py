@@ -18,6 +18,7 @@ def get_session(app: str = "leafmart", master: str | None = None, shuffle_partit
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "12g")
     )
     if master:
         builder = builder.master(master)

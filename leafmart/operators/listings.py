@@ -135,8 +135,11 @@ def normalize_deal(df: DataFrame) -> DataFrame:
     from_name = F.regexp_extract("name", r"^([A-Za-z][A-Za-z0-9'.& ]{1,20}?)\s*[-–—]", 1)
     brand = F.when((F.coalesce("brand", F.lit("")) != "") & (F.col("brand") != "Unknown"), F.col("brand")).when(from_name != "", F.trim(from_name)).otherwise("Unknown")
     valid = F.col("category").isin("flower", "preroll", "vape", "edible", "concentrate")
-    return df.withColumns({"weight": weight, "brand_name": brand, "category": F.when(valid, F.col("category")).otherwise("flower")}).withColumn(
-        "brand_id", F.regexp_replace(F.lower("brand_name"), r"\s+", "-")).drop("_nw", "_w0", "_w1", "_lc", "_v", "value", "unit", "is_valid", "was_corrected")
+    out = df.withColumns({"weight": weight, "brand_name": brand, "category": F.when(valid, F.col("category")).otherwise("flower")}).withColumn(
+        "brand_id", F.regexp_replace(F.lower("brand_name"), r"\s+", "-"))
+    out = out.drop("_nw", "_w0", "_w1", "_lc", "_v", "value", "unit", "is_valid", "was_corrected")
+    # filters on the weight text must not be rewritten into the steps above
+    return t.keep_rows(out, F.lit(True))
 
 
 def unit_price(price: Column, weight: Column, category: Column) -> Column:

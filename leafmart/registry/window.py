@@ -12,6 +12,7 @@ from leafmart.operators import feed as f
 from leafmart.operators import listings as ls
 from leafmart.operators import maintenance as m
 from leafmart.operators import ranking
+from leafmart.registry import offers  # noqa: F401  (its checking views are used below)
 from leafmart.registry import oracle as o
 from leafmart.registry.common import PRODUCTS_AS_OF as NOW
 from leafmart.registry.common import TIERS, as_long, day_text, products, scored, view

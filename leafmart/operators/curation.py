@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from leafmart import lookups as L
 from leafmart.functions.pricing import chain_of, deal_score, hard_filters, quality_flags
+from leafmart.session import cut_lineage
 from leafmart.operators.ranking import (
     SCORE_ORDER, bucket_leaders, dedup_cross_chain, dedup_global_name, guaranteed_picks, limit_similar, order_of, relaxed_backfill,
     slot_allocation, store_floor, top_n, top_per_group, with_buckets,
@@ -280,6 +281,8 @@ def select_top_deals(deals: DataFrame, group_cols: list[str]) -> DataFrame:
     rather than load an unbounded group or drop rows.
     """
     per_store = "dispensary_id" in group_cols
+    # leaders, slots and cuts all read the offers again: compute them once
+    deals = cut_lineage(deals)
     pool = selection_pool(deals, group_cols, L.BACKFILL_STORE_CAP if per_store else L.TARGET_DEALS + 5 * len(L.CATEGORY_TARGETS))
     if not per_store:
         biggest = pool.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
@@ -289,7 +292,7 @@ def select_top_deals(deals: DataFrame, group_cols: list[str]) -> DataFrame:
     schema = T.StructType([*[T.StructField(f"g_{g}", keyed.schema[f"g_{g}"].dataType) for g in group_cols],
                            T.StructField("id", T.StringType()), T.StructField("display_rank", T.LongType())])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
         chosen = curate(rows)
         out = {f"g_{g}": [k] * len(chosen) for g, k in zip(group_cols, key)}
@@ -309,7 +312,7 @@ def detect_deals(products: DataFrame, group_cols: list[str], dynamic_caps: DataF
     single = (F.col("category") == "flower") & F.col("weight_value").between(0.5, 1.5)
     df = products.withColumn("category", F.when(F.coalesce(single, F.lit(False)), "preroll").otherwise(F.col("category")))
     judged = hard_filters(df, dynamic_caps).withColumn("deal_score", F.when(F.col("passed"), deal_score(tiers)).otherwise(0))
-    judged = judged.select("*", *quality_flags())
+    judged = cut_lineage(judged.select("*", *quality_flags()))
     kept = relaxed_backfill(judged, group_cols)
     pool = dedup_global_name(dedup_cross_chain(limit_similar(kept, scope=group_cols), group_cols), group_cols)
     selected = select_top_deals(pool, group_cols).select(*group_cols, "id", "name", "sale_price", "display_rank")
@@ -317,9 +320,9 @@ def detect_deals(products: DataFrame, group_cols: list[str], dynamic_caps: DataF
     taken = selected.groupBy(*group_cols).agg(F.count("*").alias("_t"))
     needed = sizes.join(taken, group_cols, "left").withColumn(
         "n_needed", store_floor(F.col("_n")) - F.coalesce("_t", F.lit(0))).filter("n_needed > 0")
-    rest = df.join(selected.select(*group_cols, "name", "sale_price").distinct(), [*group_cols, "name", "sale_price"], "left_anti")
+    rest = judged.join(selected.select(*group_cols, "name", "sale_price").distinct(), [*group_cols, "name", "sale_price"], "left_anti")
     # only stores below their floor are looked at again
-    forced = guaranteed_picks(rest.join(needed.select(*group_cols), group_cols, "left_semi"), group_cols, needed, tiers).select(
+    forced = guaranteed_picks(rest.drop("deal_score").join(needed.select(*group_cols), group_cols, "left_semi"), group_cols, needed, tiers).select(
         "id", F.col("deal_score").alias("_forced"))
     flags = judged.join(pool.select("id", F.lit(1).alias("_kept")), "id", "left").join(
         selected.select("id", "display_rank"), "id", "left").join(forced, "id", "left")
@@ -432,7 +435,7 @@ def tier_shuffle(feed: DataFrame, group_cols: list[str], seed: str) -> DataFrame
     schema = T.StructType([*[T.StructField(g, df.schema[g].dataType) for g in group_cols], T.StructField("id", T.StringType()),
                            T.StructField("position", T.LongType())])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["draw", "id"]).to_dict("records")
         first = sorted((r for r in rows if not pd.isna(r["hero"])), key=lambda r: r["hero"])
         deck = first + _chain_list([r for r in rows if pd.isna(r["hero"])], SHUFFLE_TIERS)
@@ -482,7 +485,7 @@ def spaced_feed(feed: DataFrame, group_cols: list[str]) -> DataFrame:
     schema = T.StructType([*[T.StructField(g, df.schema[g].dataType) for g in group_cols], T.StructField("id", T.StringType()),
                            T.StructField("position", T.LongType())])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["deal_score", "id"], ascending=[False, True]).to_dict("records")
         pools = {c: [r for r in rows if r["category"] == c] for c in ROUND_ORDER}
         opening, used, brands = [], set(), set()
@@ -522,7 +525,7 @@ def featured_by_discount(deals: DataFrame, group_cols: list[str], n: int = 5) ->
     schema = T.StructType([*[T.StructField(g, pool.schema[g].dataType) for g in group_cols], T.StructField("id", T.StringType()),
                            T.StructField("position", T.LongType())])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["_d", "id"], ascending=[False, True]).to_dict("records")
         got, stores, cats = [], set(), set()
         for level in (2, 1, 0):

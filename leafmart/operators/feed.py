@@ -275,12 +275,10 @@ def social_proof(deals: DataFrame, as_of: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def zip_to_state(zip_code: Column) -> Column:
-    prefix = F.substring(F.regexp_replace(zip_code, r"[^0-9]", ""), 1, 3).try_cast("int")
-    out = None
-    for lo, hi, state in L.ZIP3_RANGES:
-        hit = prefix.between(lo, hi)
-        out = F.when(hit, state) if out is None else out.when(hit, state)
-    return F.when(F.length(F.regexp_replace(zip_code, r"[^0-9]", "")) >= 3, out)
+    digits = F.regexp_replace(zip_code, r"[^0-9]", "")
+    prefix = F.when(F.length(digits) >= 3, F.substring(digits, 1, 3)).try_cast("int")
+    ranges = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(state).alias("state")) for lo, hi, state in L.ZIP3_RANGES])
+    return F.get(F.filter(ranges, lambda r: prefix.between(r["lo"], r["hi"])), F.lit(0))["state"]
 
 
 def legality(state: Column) -> Column:

@@ -188,7 +188,6 @@ def live(s, d):
 
 
 register("hero_slots", lambda s, d: as_long(cu.hero_slots(live(s, d), ["region"]), "slot"), _hero_sql())
-GROUP = ["run_date", "dispensary_id"]
 
 
 def _pool(s, d):
@@ -197,7 +196,7 @@ def _pool(s, d):
 
 
 register("select_top_deals", lambda s, d: cu.select_top_deals(_pool(s, d), ["dispensary_id"]).select("dispensary_id", "id", "display_rank"))
-register("detect_deals", lambda s, d: cu.detect_deals(products(s, d), GROUP, tiers=TIERS).filter("is_selected = 1").select("id", "dispensary_id", day_text("run_date").alias("day"), "deal_score", "is_guaranteed"))
+register("detect_deals", lambda s, d: cu.detect_deals(products(s, d), ["dispensary_id"], tiers=TIERS).filter("is_selected = 1").select("id", "dispensary_id", day_text("run_date").alias("day"), "deal_score", "is_guaranteed"))
 
 
 def _feed(s, d):
@@ -208,7 +207,7 @@ def _feed(s, d):
 register("tier_shuffle", lambda s, d: cu.tier_shuffle(_feed(s, d), ["region"], "2001-08-01:"))
 register("spaced_feed", lambda s, d: cu.spaced_feed(_feed(s, d), ["region"]))
 register("featured_by_discount", lambda s, d: cu.featured_by_discount(live(s, d), ["region"]))
-register("post_queue", lambda s, d: cu.post_queue(live(s, d), products(s, d).filter("run_date = DATE '2001-07-31' AND category = 'other' AND brand IS NOT NULL").limit(0), REGION))
+register("post_queue", lambda s, d: cu.post_queue(live(s, d), live(s, d).filter("run_date = DATE '2001-07-31'"), REGION))
 
 # --- streaming --------------------------------------------------------------------------------------------
 

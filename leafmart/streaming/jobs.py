@@ -94,7 +94,8 @@ def event_ingest(stream: DataFrame, root: str, cap: int = 500, delay: str = "1 d
 
     Accepted rows go to ``accepted/v=<batch>``, the running counters (one row per user and day) to ``counts/v=<batch>``.
     """
-    unique = stream.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
+    timed = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    unique = timed.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

@@ -207,7 +207,7 @@ def _feed(s, d):
 register("tier_shuffle", lambda s, d: cu.tier_shuffle(_feed(s, d), ["region"], "2001-08-01:"))
 register("spaced_feed", lambda s, d: cu.spaced_feed(_feed(s, d), ["region"]))
 register("featured_by_discount", lambda s, d: cu.featured_by_discount(live(s, d), ["region"]))
-register("post_queue", lambda s, d: cu.post_queue(live(s, d), live(s, d).filter("run_date = DATE '2001-07-31'"), REGION))
+register("post_queue", lambda s, d: cu.post_queue(live(s, d), ranking.top_n(live(s, d).filter("run_date = DATE '2001-07-31'"), ranking.SCORE_ORDER, 3), REGION))
 
 # --- streaming --------------------------------------------------------------------------------------------
 

@@ -28,7 +28,7 @@ NONSPACE = np.ones(256, bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = np.random.default_rng(20240501).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -58,7 +58,7 @@ def fold_is(column: str, fold: int) -> F.Column:
 
 @dataclass
 class Shard:
-    """Documents `first` to `last` of a batch as one byte array, a line feed after each."""
+    """Documents `first` to `last` of a batch as one byte array, line feeds after each."""
 
     first: int
     last: int
@@ -81,14 +81,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8), offsets
 
 
-def shards(column: pa.Array, limit: int = SHARD_BYTES) -> Iterator[Shard]:
+def shards(column: pa.Array, limit: int = SHARD_BYTES, gap: int = 1) -> Iterator[Shard]:
     data, offsets = utf8(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
         last = min(last, n)
         sizes = np.diff(offsets[first : last + 1])
-        starts = np.concatenate(([0], np.cumsum(sizes + 1)))
+        starts = np.concatenate(([0], np.cumsum(sizes + gap)))
         out = np.full(int(starts[-1]), 10, np.uint8)
         for i in range(last - first):
             out[starts[i] : starts[i] + sizes[i]] = data[offsets[first + i] : offsets[first + i + 1]]
@@ -135,8 +135,9 @@ class SpanHash:
         np.cumsum(values * powers[: len(values)], dtype=np.uint64, out=self.sums[1:])
 
     @classmethod
-    def of_bytes(cls, data: np.ndarray) -> SpanHash:
-        return cls(_BYTE[data])
+    def of_bytes(cls, data: np.ndarray, table: int = 0) -> SpanHash:
+        """Two tables give two independent hashes."""
+        return cls(_BYTE[table][data])
 
     def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.inverses[starts]

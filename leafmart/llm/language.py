@@ -18,11 +18,12 @@ SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 64, 4_000, 64 << 10
 MODEL_BYTES = 32 << 20
 #: A text is encoded in blocks, so that its own repetitions do not outweigh the dictionary.
 BLOCK_BYTES = 4 << 10
-LEVEL = 3
+LEVEL = 6
 #: Least saving of the best over the second best dictionary, as a share of the second size.
-MARGIN = 0.01
+MARGIN = 0.005
 
 LETTER = re.compile(r"[^\W\d_]")
+NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def learn_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
@@ -48,7 +49,8 @@ def learn_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
 
 
 def normal(text: str) -> bytes:
-    return " ".join(text.lower().split()).encode("utf-8", "replace")
+    """All letters in lower case, one space for all between them: signs and digits say nothing of a language."""
+    return NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
 class Classifier:

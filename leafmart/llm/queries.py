@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmart.llm import chunk_dedup, decontaminate, language, mixing, token_files, vector_topk
+from leafmart.llm import chunk_dedup, decontaminate, language, licenses, mixing, token_files, vector_topk
 from leafmart.llm.common import fold_is
 
 
@@ -38,6 +38,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licenses.*")
+    places = F.transform("base", lambda b: b["word"])
+    base = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
+    every = F.array_sort(F.array_union(base, F.transform("detections", lambda d: d["label"])))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), "score",
+    )
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
@@ -62,7 +73,7 @@ def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op6_mix_sources, op8_token_files, op9_chunk_dedup, op10_vector_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_license_scan, op6_mix_sources, op8_token_files, op9_chunk_dedup, op10_vector_topk)}
 
 ORACLE: dict[str, str] = {
     "op10_vector_topk": """

@@ -15,8 +15,6 @@ from leafmart.llm.common import bounded_batches, staged, utf8, work_folder
 
 #: Words whose ids a worker remembers; the older half goes when it is full.
 REMEMBERED = 300_000
-#: Rows of documents in a file part.
-PART_BYTES = 64 << 20
 FILES = "doc_id long, part int, at long, n_tokens long, control binary, data binary"
 
 _coders: dict[int, WordCoder] = {}
@@ -29,15 +27,15 @@ class WordCoder:
     another.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, kind: str):
         from tokenizers import Tokenizer
 
-        self.coder = Tokenizer.from_str(definition)
+        self.coder, self.kind = Tokenizer.from_str(definition), kind
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, then the end id."""
+        """Ids of each text, then the end id."""
         split = [t.split() for t in texts]
         young, old = self.young, self.old
         unseen = set(chain.from_iterable(split)).difference(young)
@@ -50,19 +48,19 @@ class WordCoder:
         for a in range(0, len(fresh), 10_000):
             some = fresh[a : a + 10_000]
             for w, e in zip(some, self.coder.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                young[w] = np.array(e.ids, "<u4").tobytes()
+                young[w] = np.array(e.ids, self.kind).tobytes()
         out = [b"".join(map(young.__getitem__, words)) + end for words in split]
         if len(young) > REMEMBERED:
             self.old, self.young = young, {}
         return out
 
 
-def word_coder(definition: str) -> WordCoder:
+def word_coder(definition: str, kind: str) -> WordCoder:
     """One per worker process, kept between tasks."""
-    key = zlib.crc32(definition.encode())
+    key = zlib.crc32((kind + definition).encode())
     if key not in _coders:
         _coders.clear()
-        _coders[key] = WordCoder(definition)
+        _coders[key] = WordCoder(definition, kind)
     return _coders[key]
 
 
@@ -93,16 +91,23 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values.reshape(-1).view("<u4")[:n]
 
 
-def encode_documents(docs: DataFrame, definition: str, end_id: int) -> DataFrame:
-    """(doc_id, ids binary): 32-bit ids of each whole text, the end id last. Null is an empty text."""
+def id_type(definition: str, end_id: int) -> str:
+    """Two bytes an id on the way to the files where all ids of the tokenizer fit, else four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(end_id + 1, Tokenizer.from_str(definition).get_vocab_size()) <= 1 << 16 else "<u4"
+
+
+def encode_documents(docs: DataFrame, definition: str, end_id: int, kind: str = "<u4") -> DataFrame:
+    """(doc_id, ids binary): ids of each whole text as numbers of `kind`, the end id last. Null is an empty text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(definition)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], kind).tobytes()
 
     @F.arrow_udf("binary")
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = word_coder(shared.value)
+        coder = word_coder(shared.value, kind)
         for column in columns:
             data, offsets = utf8(column)
             raw = data.tobytes()
@@ -115,14 +120,14 @@ def encode_documents(docs: DataFrame, definition: str, end_id: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), encode("text").alias("ids"))
 
 
-def frequency_ranks(encoded: DataFrame) -> np.ndarray:
+def frequency_ranks(encoded: DataFrame, kind: str) -> np.ndarray:
     """Ids in the order of falling counts, ties to the smaller id; a row a distinct id, so no more than the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            found = np.bincount(data[offsets[0] : offsets[-1]].view("<u4").astype(np.int64), minlength=len(total))
+            found = np.bincount(data[offsets[0] : offsets[-1]].view(kind).astype(np.int64), minlength=len(total))
             found[: len(total)] += total
             total = found
         ids = np.flatnonzero(total)
@@ -140,8 +145,9 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int = 1) -
     they come; an empty table gives files without rows.
     """
     spark = docs.sparkSession
-    encoded = staged(encode_documents(docs, definition, end_id))
-    ids = frequency_ranks(encoded)
+    kind = id_type(definition, end_id)
+    encoded = staged(encode_documents(docs, definition, end_id, kind))
+    ids = frequency_ranks(encoded, kind)
     table = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     table[ids] = np.arange(len(ids), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(table)
@@ -152,7 +158,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int = 1) -
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for raw in batch.column(2).to_pylist():
-                ranks = rank[np.frombuffer(raw, "<u4")]
+                ranks = rank[np.frombuffer(raw, kind)]
                 for out, x in zip(rows, (at, len(ranks), *pack(ranks)), strict=True):
                     out.append(x)
                 at += len(ranks)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -31,6 +32,9 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.coder, self.kind = Tokenizer.from_str(definition), kind
+        vocabulary = self.coder.get_vocab(with_added_tokens=True)
+        self.word_end = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.word_end[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -45,16 +49,33 @@ class WordCoder:
                 young[w] = old[w]
             else:
                 fresh.append(w)
-        for a in range(0, len(fresh), 10_000):
-            some = fresh[a : a + 10_000]
-            for w, e in zip(some, self.coder.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                young[w] = np.array(e.ids, self.kind).tobytes()
+        for a in range(0, len(fresh), 200):
+            some = fresh[a : a + 200]
+            young.update(zip(some, self.encode_words([w.decode("utf-8", "replace") for w in some]), strict=True))
         out = [b"".join(map(young.__getitem__, words)) + end for words in split]
         if len(young) > REMEMBERED:
             self.old, self.young = young, {}
         return out
 
 
+    def encode_words(self, some: list[str]) -> list[bytes]:
+        """Words of letters alone are one piece each, so many of them go through in one text, parted at the ends of pieces."""
+        plain = [i for i, w in enumerate(some) if w.isalpha() and unicodedata.normalize("NFC", w).lower().isalpha()]
+        out = dict.fromkeys(range(len(some)), b"")
+        ids = np.array(self.coder.encode_batch_fast([" ".join(some[i] for i in plain)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.word_end[ids]) + 1
+        if len(ends) != len(plain) or (len(ends) and ends[-1] != len(ids)):
+            plain, ends = [], ends[:0]  # a tokenizer without marked ends
+        raw, size, at = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize, 0
+        for i, e in zip(plain, ends.tolist(), strict=True):
+            out[i] = raw[at * size : e * size]
+            at = e
+        rest = sorted(out.keys() - set(plain))
+        for i, e in zip(rest, self.coder.encode_batch_fast([some[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.kind).tobytes()
+        return [out[i] for i in range(len(some))]
+
+
 def word_coder(definition: str, kind: str) -> WordCoder:
     """One per worker process, kept between tasks."""
     key = zlib.crc32((kind + definition).encode())

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmart.llm import chunk_dedup, decontaminate, language, licenses, mixing, token_files, vector_topk
+from leafmart.llm import bloom_lm, chunk_dedup, decontaminate, language, licenses, mixing, token_files, vector_topk
 from leafmart.llm.common import fold_is
 
 
@@ -54,6 +54,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
+def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold_is("doc_id", 1).alias("held_out"))
+    scored = bloom_lm.score_texts(docs.withColumn("learn", ~F.col("held_out")), "learn")
+    return scored.select("doc_id", "held_out", "lm.n_tokens", "lm.n_known", "lm.train_tokens", "lm.base_score", "lm.score")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = token_files.round_trip(docs, tokenizer_definition())
@@ -73,7 +79,7 @@ def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_license_scan, op6_mix_sources, op8_token_files, op9_chunk_dedup, op10_vector_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_license_scan, op6_mix_sources, op7_bloom_lm, op8_token_files, op9_chunk_dedup, op10_vector_topk)}
 
 ORACLE: dict[str, str] = {
     "op10_vector_topk": """

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmart.llm import bloom_lm, chunk_dedup, decontaminate, jaccard, language, licenses, mixing, token_files, vector_topk
+from leafmart.llm import bloom_lm, chunk_dedup, decontaminate, jaccard, language, licenses, mixing, suffix_dedup, token_files, vector_topk
 from leafmart.llm.common import fold_is
 
 
@@ -49,6 +49,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return found.select("doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"), F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
@@ -83,7 +88,7 @@ def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_license_scan, op5_jaccard_join, op6_mix_sources, op7_bloom_lm, op8_token_files, op9_chunk_dedup, op10_vector_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_license_scan, op4_suffix_dedup, op5_jaccard_join, op6_mix_sources, op7_bloom_lm, op8_token_files, op9_chunk_dedup, op10_vector_topk)}
 
 ORACLE: dict[str, str] = {
     "op10_vector_topk": """

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmart.llm.common import LOWER, NONSPACE, SpanHash, bounded_batches, mix, shards, staged, words
+from leafmart.llm.common import LOWER, NONSPACE, SpanHash, bounded_batches, mix, shards, staged, unused, words
 
 #: Documents of the sample that names the frequent words, and how many of them. A word on this list is counted inside tasks
 #: and broadcast with its count; all others meet their counts by a shuffle. The list changes the way, never a result.
@@ -229,8 +229,10 @@ def score_texts(docs: DataFrame, train_col: str) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    marked = docs.drop("lm").withColumn("mark", F.hash("text"))
-    model = train(marked.select("doc_id", "mark", "text", F.coalesce(F.col(train_col), F.lit(False)).alias(train_col)), train_col)
+    docs = docs.drop("lm")
+    mark, part, same_doc, same_text, more_known, more_logs = unused(docs, "_mark", "_lm", "_doc", "_hash", "_known", "_logs")
+    marked = docs.withColumn(mark, F.hash("text"))
+    model = train(marked.select("doc_id", F.col(mark).alias("mark"), "text", F.coalesce(F.col(train_col), F.lit(False)).alias("learn")), "learn")
     shared = spark.sparkContext.broadcast((model.frequent, model.counts, model.total, model.distinct, model.bits))
 
     def parts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -263,14 +265,17 @@ def score_texts(docs: DataFrame, train_col: str) -> DataFrame:
     rare = model.seen.where(F.col("mark").isNotNull() & (F.col("c") > 0))
     times = F.abs("times")
     rest = rare.groupBy("doc_id", "mark").agg(F.sum(times).alias("_known"), F.sum(times * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("_logs"))
-    rows = marked.groupBy("doc_id", "mark").agg(F.count("*").alias("_rows")).where(F.col("_rows") > 1)
+    rows = marked.groupBy("doc_id", F.col(mark).alias("mark")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > 1)
     rest = rest.join(rows.withColumnsRenamed({"doc_id": "_d", "mark": "_m"}), F.expr("doc_id <=> _d and mark = _m"), "left")
     each = F.coalesce(F.col("_rows"), F.lit(1))
-    rest = rest.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), (F.col("_known") / each).cast("long").alias("_known"), (F.col("_logs") / each).alias("_logs"))
-    scored = marked.withColumn("_lm", F.arrow_udf(parts, PART)("text")).join(rest, F.expr("doc_id <=> _doc and mark = _mark"), "left")
-    base = F.col("_lm.logs") + F.coalesce("_logs", F.lit(0.0)) - F.col("_lm.n_tokens") * F.lit(math.log10(model.total + 0.5 * (model.distinct + 1)))
+    rest = rest.select(
+        F.col("doc_id").alias(same_doc), F.col("mark").alias(same_text), (F.col("_known") / each).cast("long").alias(more_known), (F.col("_logs") / each).alias(more_logs)
+    )
+    scored = marked.withColumn(part, F.arrow_udf(parts, PART)("text")).join(rest, F.col("doc_id").eqNullSafe(F.col(same_doc)) & (F.col(mark) == F.col(same_text)), "left")
+    n_tokens = F.col(f"{part}.n_tokens")
+    base = F.col(f"{part}.logs") + F.coalesce(more_logs, F.lit(0.0)) - n_tokens * F.lit(math.log10(model.total + 0.5 * (model.distinct + 1)))
     out = F.struct(
-        F.col("_lm.n_tokens").alias("n_tokens"), (F.col("_lm.known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        base.alias("base_score"), F.col("_lm.score").alias("score"),
+        n_tokens.alias("n_tokens"), (F.col(f"{part}.known") + F.coalesce(more_known, F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        base.alias("base_score"), F.col(f"{part}.score").alias("score"),
     )
-    return scored.withColumn("lm", out).drop("mark", "_lm", "_doc", "_mark", "_known", "_logs")
+    return scored.withColumn("lm", out).drop(mark, part, same_doc, same_text, more_known, more_logs)

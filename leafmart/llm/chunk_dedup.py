@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmart.llm.common import SpanHash, bounded_batches, shards, staged
+from leafmart.llm.common import SpanHash, bounded_batches, shards, staged, unused
 
 #: The rolling hash sees so many bytes; a cut is its strict minimum among so many places on either side.
 WINDOW, REACH = 32, 24
@@ -112,9 +112,11 @@ def deduplicate(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     only repeated chunks meet their documents again.
     """
     bounded_batches(docs.sparkSession)
-    keyed = docs.drop("repeats").withColumn("_text", F.xxhash64("text"))
+    docs = docs.drop("repeats")
+    mark, same_doc, same_text, found = unused(docs, "_mark", "_doc", "_hash", "_spans")
+    keyed = docs.withColumn(mark, F.xxhash64("text"))
     chunk_list = F.arrow_udf(chunk_lists, CHUNKS)
-    one = keyed.select("doc_id", "_text", F.explode(chunk_list("text")).alias("c")).select("doc_id", "_text", "c.*")
+    one = keyed.select("doc_id", F.col(mark).alias("_text"), "text").select("doc_id", "_text", F.explode(chunk_list("text")).alias("c")).select("doc_id", "_text", "c.*")
     counted = one.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_text", "start")).alias("lead"))
     repeated = staged(counted.where(F.col("n") > 1).select("one", "two", "lead"))
     meet = one.join(repeated, ["one", "two"])
@@ -141,6 +143,6 @@ def deduplicate(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_repeated", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.binary())]))
 
-    s = spans.select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), "_spans")
-    joined = keyed.join(s, F.expr("doc_id <=> _doc and _text = _hash"), "left")
-    return joined.withColumn("repeats", cut("text", "_spans")).drop("_doc", "_hash", "_text", "_spans")
+    met = spans.select(F.col("doc_id").alias(same_doc), F.col("_text").alias(same_text), F.col("_spans").alias(found))
+    joined = keyed.join(met, F.col("doc_id").eqNullSafe(F.col(same_doc)) & (F.col(mark) == F.col(same_text)), "left")
+    return joined.withColumn("repeats", cut("text", found)).drop(mark, same_doc, same_text, found)

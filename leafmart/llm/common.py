@@ -51,6 +51,17 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def fold_is(column: str, fold: int) -> F.Column:
     """crc32 of the id as text, modulo five, equals `fold`."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == fold

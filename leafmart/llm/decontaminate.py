@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmart.llm.common import ALNUM, LOWER, SpanHash, bounded_batches, shards, words
+from leafmart.llm.common import ALNUM, LOWER, SpanHash, bounded_batches, shards, unused, words
 from leafmart.llm.suffixes import refine
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -221,16 +221,18 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
         return find(F.col(text_col))
 
-    found = docs.drop("contamination").withColumn("contamination", finder(0))
+    docs = docs.drop("contamination")
+    (more,) = unused(docs, "_more")
+    found = docs.withColumn("contamination", finder(0))
     for b in range(1, blocks):
-        found = found.withColumn("_more", finder(b)).withColumn(
+        found = found.withColumn(more, finder(b)).withColumn(
             "contamination",
             F.struct(
                 F.col("contamination.n_words").alias("n_words"),
-                merged(F.concat("contamination.spans", "_more.spans")).alias("spans"),
-                F.array_sort(F.array_union("contamination.items", "_more.items")).alias("items"),
+                merged(F.concat("contamination.spans", f"{more}.spans")).alias("spans"),
+                F.array_sort(F.array_union("contamination.items", f"{more}.items")).alias("items"),
             ),
-        ).drop("_more")
+        ).drop(more)
     hit = F.aggregate("contamination.spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return found.withColumn("contamination", F.col("contamination").withField("n_hit", hit))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmart.llm.common import unused
 from leafmart.llm.license_rules import Rule, rules
 
 #: Words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of a text whose A-Z are not yet lower-cased.
@@ -73,17 +74,19 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", ordered: list[Rule] |
     The text is searched for each keyword once; rules run only where their keyword stands. No shuffle, all in the row.
     """
     keywords, groups = rule_groups(ordered if ordered is not None else rules())
-    read = docs.drop("licenses").withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_low", F.lower("_text"))
-    low = F.col("_low")
-    gated = read.withColumn("_hits", F.array_compact(F.array(*[F.when(low.contains(k), F.lit(i)) for i, k in enumerate(keywords)])))
+    docs = docs.drop("licenses")
+    text, lower, hits, word_list, places_of_base, kept = unused(docs, "_text", "_low", "_hits", "_words", "_base", "_kept")
+    read = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(lower, F.lower(text))
+    low = F.col(lower)
+    gated = read.withColumn(hits, F.array_compact(F.array(*[F.when(low.contains(k), F.lit(i)) for i, k in enumerate(keywords)])))
     phrase = low.contains("cc") & low.contains("by") | low.contains("general") & low.contains("license") | low.contains("rights") & low.contains("reserved")
-    gated = gated.withColumn("_words", F.when(phrase, F.regexp_extract_all(F.translate("_text", UPPER, LOWER), F.lit(WORD), F.lit(0))))
-    words = F.col("_words")
+    gated = gated.withColumn(word_list, F.when(phrase, F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))))
+    words = F.col(word_list)
 
     def base_at(w: F.Column, i: F.Column) -> F.Column:
         out = F.lit(None).cast("string")
-        for text, label in PHRASES.items():
-            first, *rest = text.split()
+        for words_of, label in PHRASES.items():
+            first, *rest = words_of.split()
             here = w == first
             for n, x in enumerate(rest, 1):
                 here = here & F.coalesce(F.get(words, i + n) == x, F.lit(False))
@@ -92,10 +95,10 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", ordered: list[Rule] |
 
     none = F.expr("cast(array() as array<struct<word: bigint, label: string>>)")
     base = F.when(phrase, F.filter(F.transform(words, base_at), lambda b: b["label"].isNotNull())).otherwise(none)
-    every = F.flatten(F.transform("_hits", lambda i: F.flatten(F.transform(F.element_at(groups, i + 1), lambda r: places(F.col("_text"), r)))))
+    every = F.flatten(F.transform(hits, lambda i: F.flatten(F.transform(F.element_at(groups, i + 1), lambda r: places(F.col(text), r)))))
     nothing = F.expr(f"cast(array() as array<{DETECTION}>)")
-    found = gated.withColumn("_base", base).withColumn("_kept", F.when(F.size("_hits") > 0, uncontained(every)).otherwise(nothing))
-    shown = F.transform("_kept", lambda d: F.struct(d["begin"].alias("begin"), (-d["back"]).alias("end"), (-d["low"]).alias("priority"), d["rule"].alias("rule"), d["label"].alias("label")))
-    top = F.greatest(F.coalesce(F.array_max(F.transform("_kept", lambda d: -d["low"])), F.lit(-1)), F.when(F.size("_base") > 0, F.lit(1)).otherwise(F.lit(-1)))
-    out = F.struct(F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"), F.col("_base").alias("base"), shown.alias("detections"), ((top + 1) / F.lit(TOP + 1.0)).alias("score"))
-    return found.withColumn("licenses", out).drop("_text", "_low", "_hits", "_words", "_base", "_kept")
+    found = gated.withColumn(places_of_base, base).withColumn(kept, F.when(F.size(hits) > 0, uncontained(every)).otherwise(nothing))
+    shown = F.transform(kept, lambda d: F.struct(d["begin"].alias("begin"), (-d["back"]).alias("end"), (-d["low"]).alias("priority"), d["rule"].alias("rule"), d["label"].alias("label")))
+    top = F.greatest(F.coalesce(F.array_max(F.transform(kept, lambda d: -d["low"])), F.lit(-1)), F.when(F.size(places_of_base) > 0, F.lit(1)).otherwise(F.lit(-1)))
+    out = F.struct(F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.col(places_of_base).alias("base"), shown.alias("detections"), ((top + 1) / F.lit(TOP + 1.0)).alias("score"))
+    return found.withColumn("licenses", out).drop(text, lower, hits, word_list, places_of_base, kept)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmart.llm.common import staged
+from leafmart.llm.common import staged, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Leading hex digits of a key that name its range; 4096 ranges a source.
@@ -49,27 +49,28 @@ def mix_sources(docs: DataFrame, repeats: int = 3, seed: str = "mix-1") -> DataF
     Keys are md5 of seed and id, so ranges of keys are even and one source of any size spreads over 16**RANGE_DIGITS ranges.
     Prefix sums are sums by range first, then running sums inside a range; only the first is a table of sources and ranges.
     """
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_taken")
+    key, part, within, of, span, ahead = unused(docs, "_key", "_range", "_inside", "_of", "_span", "_before")
     keyed = (
-        docs.drop("mix_size", "mix_source_size", "mix_target", "mix_taken")
-        .withColumn("mix_size", word_count(F.col("text")))
-        .withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
-        .withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
+        docs.withColumn("mix_size", word_count(F.col("text")))
+        .withColumn(key, F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
+        .withColumn(part, F.substring(key, 1, RANGE_DIGITS))
     )
-    ranges = staged(keyed.groupBy("source", "_range").agg(F.sum("mix_size").alias("range_size")))
+    ranges = staged(keyed.groupBy("source", F.col(part).alias("part")).agg(F.sum("mix_size").alias("range_size")))
     goal = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), repeats)
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.withColumn("ahead", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     starts = offsets.alias("o").join(goal.alias("g"), F.expr("o.source <=> g.source")).select(
-        F.struct(F.col("o.source")).alias("_s"), F.col("o._range").alias("_r"), "_before", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
+        F.col("o.source").alias(of), F.col("o.part").alias(span), F.col("ahead").alias(ahead), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
     )
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = keyed.withColumn("_inside", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
-    placed = summed.join(starts, F.expr("source <=> _s.source and _range = _r"), "left")
+    inside = Window.partitionBy("source", part).orderBy(key, "mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    summed = keyed.withColumn(within, F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
+    placed = summed.join(starts, F.col("source").eqNullSafe(F.col(of)) & (F.col(part) == F.col(span)), "left")
     budget = F.floor("mix_target")
     epochs = F.when(F.col("mix_source_size") > 0, F.floor(budget / F.col("mix_source_size"))).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("mix_source_size") - F.col("_before") - F.col("_inside")
+    rest = budget - epochs * F.col("mix_source_size") - F.col(ahead) - F.col(within)
     taken = epochs * F.col("mix_size") + F.greatest(F.lit(0), F.least(F.col("mix_size"), rest))
-    return placed.withColumn("mix_taken", taken.cast("long")).drop("_key", "_range", "_inside", "_s", "_r", "_before")
+    return placed.withColumn("mix_taken", taken.cast("long")).drop(key, part, within, of, span, ahead)
 
 
 def materialised(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,4 +79,4 @@ def materialised(mixed: DataFrame, columns: list[str]) -> DataFrame:
     Documents without words are kept once: they cost no budget.
     """
     copies = F.when(F.col("mix_size") == 0, F.lit(1)).otherwise(F.round(F.col("mix_taken") / F.col("mix_size")).cast("int"))
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*columns)
+    return mixed.select(*columns, F.explode(F.array_repeat(F.lit(1), copies)).alias("mix_copy")).drop("mix_copy")

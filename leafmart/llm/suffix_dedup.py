@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmart.llm.common import SpanHash, bounded_batches, shards, staged
+from leafmart.llm.common import SpanHash, bounded_batches, shards, staged, unused
 from leafmart.llm.suffixes import byte_keys, common_prefixes, refine
 
 LENGTH = 400
@@ -211,7 +211,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     bounded_batches(docs.sparkSession)
     docs = docs.drop("repeats")
     work = Repeats(docs.select("doc_id", "text"), length, gram)
-    found = work.spans().withColumnsRenamed({"doc_id": "_doc", "mark": "_mark", "spans": "_spans"})
+    same_doc, same_text, pieces, mark = unused(docs, "_doc", "_hash", "_spans", "_mark")
+    found = work.spans().withColumnsRenamed({"doc_id": same_doc, "mark": same_text, "spans": pieces})
 
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         rows = []
@@ -231,6 +232,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.binary())]))
 
-    marked = docs.withColumn("_of", F.xxhash64("text"))
-    joined = marked.join(found, F.expr("doc_id <=> _doc and _of = _mark"), "left")
-    return joined.withColumn("repeats", F.arrow_udf(cut, RESULT)("text", "_spans")).drop("_of", "_doc", "_mark", "_spans")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    joined = marked.join(found, F.col("doc_id").eqNullSafe(F.col(same_doc)) & (F.col(mark) == F.col(same_text)), "left")
+    return joined.withColumn("repeats", F.arrow_udf(cut, RESULT)("text", pieces)).drop(mark, same_doc, same_text, pieces)

@@ -68,7 +68,7 @@ def repeated_starts(blocks: list[bytes], length: int) -> list[np.ndarray]:
     """
     sizes = np.array([len(b) + 1 for b in blocks])
     data = np.frombuffer(b"".join(b + bytes([BREAK]) for b in blocks), np.uint8)
-    order, _ = refine(byte_keys(data), depth=length, step=8)
+    order, _ = refine(byte_keys(data), step=8)  # to the end: the rule for common prefixes needs the full order
     shared = common_prefixes(data, order, length, lanes=max(1, min(4096, len(data) // 512))) >= length
     twice = np.zeros(len(data), bool)
     twice[order[shared]] = True

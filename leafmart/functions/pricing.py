@@ -67,6 +67,10 @@ def caps_table(spark: SparkSession, caps: dict | None = None) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+#: Learned caps (regions x categories x tiers) that are broadcast; more are left to the planner.
+MAX_BROADCAST_CAPS = 200_000
+
+
 def with_price_cap(products: DataFrame, dynamic_caps: DataFrame | None = None, caps: dict | None = None) -> DataFrame:
     """Adds ``price_cap``, ``infused_cap`` and ``pack_cap``.
 
@@ -90,13 +94,15 @@ def with_price_cap(products: DataFrame, dynamic_caps: DataFrame | None = None, c
         learned = dynamic_caps.filter("is_active").select(
             F.col("region").alias("_r"), F.col("category").alias("_c"), F.col("weight_tier").alias("_t"),
             F.col("recommended_cap").cast("double").alias("_cap"))
-        exact, market = learned.alias("ex"), learned.alias("mk")
+        # one row a category and tier, with the caps of its regions: a few rows, so exact region and market are two look-ups
+        by_region = learned.groupBy("_r", "_c", "_t").agg(F.max("_cap").alias("_cap")).groupBy("_c", "_t").agg(
+            F.map_from_entries(F.collect_list(F.struct("_r", "_cap"))).alias("_caps"))
+        if learned.limit(MAX_BROADCAST_CAPS + 1).count() <= MAX_BROADCAST_CAPS:
+            by_region = F.broadcast(by_region)
         out = out.withColumn("_tier", weight_tier(F.col("category"), F.col("weight_value").cast("double")))
-        out = out.join(exact, (F.col("region") == F.col("ex._r")) & (F.col("category") == F.col("ex._c"))
-                       & (F.col("_tier") == F.col("ex._t")), "left")
-        out = out.join(market, (strip_shard(F.col("region")) == F.col("mk._r"))
-                       & (F.col("category") == F.col("mk._c")) & (F.col("_tier") == F.col("mk._t")), "left")
-        out = out.withColumn("price_cap", F.coalesce(F.col("ex._cap"), F.col("mk._cap"), fixed))
+        out = out.join(by_region, (F.col("category") == F.col("_c")) & (F.col("_tier") == F.col("_t")), "left")
+        own = F.try_element_at("_caps", F.col("region"))
+        out = out.withColumn("price_cap", F.coalesce(own, F.try_element_at("_caps", strip_shard(F.col("region"))), fixed))
     base = caps[BASE_STATE]
     keep = [F.col(c) for c in products.columns]
     return out.select(*keep, "price_cap",

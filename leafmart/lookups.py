@@ -153,17 +153,82 @@ BRAND_POINTS = {"premium": 20, "popular": 12, "other": 5}
 CATEGORY_POINTS = {"flower": 8, "vape": 8, "edible": 8, "concentrate": 7, "preroll": 7}
 OTHER_CATEGORY_POINTS = 3
 BADGES = [("steal", 85), ("fire", 70), ("solid", 50)]
-# Default brand tiers; the full market list is a parameter (see README).
+# Brand tiers, by market.
 BRAND_TIERS = {
     "premium": [
-        "stiiizy", "cookies", "raw garden", "kiva", "wyld", "connected", "alien labs", "jungle boys",
-        "cannabiotix", "cbx", "jeeter", "packwoods", "runtz",
+        "stiiizy", "cookies", "raw garden", "kiva", "wyld",
+        "connected", "alien labs", "jungle boys", "cannabiotix", "cbx",
+        "jeeter", "packwoods", "runtz",
     ],
     "popular": [
-        "rove", "select", "heavy hitters", "trendi", "camp", "old pal", "pacific stone", "fleur", "virtue",
-        "curaleaf", "matrix", "kynd", "city trees", "camino", "airopro", "bounti", "smokiez", "dixie", "sip",
-        "mpx", "sublime", "wana", "incredibles", "verano", "grassroots", "rythm", "plug play", "pax", "kingpen",
+        "rove", "select", "heavy hitters", "trendi", "camp",
+        "old pal", "pacific stone", "fleur", "virtue",
+        "curaleaf", "matrix", "kynd", "city trees",
+        "camino", "airopro", "bounti", "smokiez",
+        "dixie", "sip", "mpx", "sublime",
+        "wana", "incredibles", "verano", "grassroots",
+        "rythm", "plug play", "pax", "kingpen",
         "doja", "wonderbrett", "ember valley", "backpack boyz",
+        # Michigan
+        "platinum vape", "mkx", "lume", "skymint",
+        "element", "redbud roots", "pleasantrees",
+        "joyology", "pinnacle emporium", "herbana",
+        "exclusive cannabis", "high profile", "five star extracts",
+        "humblebee", "redemption", "drip", "viola",
+        "house of dank", "hod", "church cannabis",
+        "choice edibles", "detroit edibles", "nirvana center",
+        # Illinois
+        "revolution", "aeriz", "bedford grow", "cresco",
+        "high supply", "good news", "matter", "superflux",
+        "thrive", "essence", "cake", "&shine",
+        "pts", "nature's grace", "encore edibles",
+        "savvy", "reserve",
+        # Arizona
+        "abundant organics", "grow sciences", "item 9 labs",
+        "timeless", "sonoran roots", "mohave cannabis",
+        # Missouri
+        "illicit", "flora farms", "vivid", "sinse",
+        "proper", "clovr", "good day farm", "headchange",
+        "elevate", "greenlight", "haze", "nature med",
+        "vertical", "star buds", "bloc", "terrabis",
+        "c4", "amaze cannabis", "keef", "robhots",
+        "swade", "fresh green", "n'bliss", "from the earth",
+        "old route 66", "heya", "solhaus", "cloud nine",
+        "heartland labs", "robust",
+        # New Jersey
+        "kind tree", "fernway", "ozone", "rythm",
+        "garden greens", "the botanist", "clade9",
+        "terrascend", "good green", "later days",
+        "grön", "gron", "jams", "beboe", "avexia",
+        "level", "bits",
+        "breakwater", "garden state canna", "the heirloom collective",
+        "harmony", "apothecarium", "purple leaf", "bloc nj",
+        # Ohio
+        "klutch", "klutch cannabis", "buckeye relief", "firelands scientific",
+        "standard wellness", "galenas", "ancient roots",
+        "ohio clean leaf", "pure ohio wellness", "the botanist oh",
+        "body and mind", "terrasana", "about wellness",
+        "bloom oh", "amplify", "ohio provisions",
+        "butterfly effect", "grow ohio", "columbia care oh",
+        "have a heart", "the forest",
+        # Colorado
+        "green dot labs", "olio", "lazercat", "viola co",
+        "native roots", "the green solution", "livwell",
+        "standing akimbo", "terrapin care station", "l'eagle",
+        "silver stem", "medicine man", "lightshade",
+        "the dab", "bonsai cultivation",
+        # Massachusetts
+        "theory wellness", "commcan", "neta", "curaleaf ma",
+        "good chemistry", "mayflower", "berkshire roots",
+        "happy valley", "fernway", "harbor house collective",
+        "panacea", "bask", "temescal wellness",
+        # Northern Nevada
+        "sierra well", "mynt cannabis", "kanna",
+        "blüm", "blum", "greenleaf wellness",
+        # house brands of Nevada stores
+        "deep roots", "deep roots harvest",
+        "state flower", "cultivation labs",
+        "the sanctuary",
     ],
 }
 

@@ -87,8 +87,11 @@ def detect_brands(texts: DataFrame, terms: DataFrame, keys: list[str], text: str
 # Brand from the product address
 # ---------------------------------------------------------------------------
 
-def brands_from_url(listings: DataFrame, terms: DataFrame, key: str, url: str = "product_url", max_parts: int = 5) -> DataFrame:
-    """Longest brand slug in the product, brand or query part of an address; store names in the path do not count."""
+def brands_from_url(listings: DataFrame, terms: DataFrame, key: str, url: str = "product_url") -> DataFrame:
+    """Longest brand slug in the product, brand or query part of an address; store names in the path do not count.
+
+    Parts of an address are put together up to as many as the longest brand of the dictionary has."""
+    max_parts = terms.filter("is_variation = 0").agg(F.max(F.size(F.split(F.replace("term", F.lit(" "), F.lit("-")), "-")))).first()[0] or 1
     low = F.lower(F.col(url))
     tails = [F.regexp_extract(low, rf"(/{m}/.*)$", 1) for m in ("product", "products", "brands")]
     query = F.regexp_extract(low, r"(\?.*)$", 1)
@@ -181,6 +184,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
 
     pairs = prefix(la, "a").join(prefix(lb, "b"), "token").filter(
         2 * F.least("len_a", "len_b") >= threshold * (F.col("len_a") + F.col("len_b")) - 1e-9).select("a", "b").distinct()
+    # what does not match lies between matches, so replacing it turns one name into the other in as many edits at most
+    unmatched = F.floor((1 - threshold) * (F.length("a") + F.length("b")) + 1e-9)
+    pairs = pairs.filter(F.levenshtein("a", "b") <= unmatched)
     return pairs.withColumn("ratio", similarity("a", "b")).filter(F.col("ratio") >= threshold)
 
 

@@ -228,7 +228,7 @@ def slot_allocation(deals: DataFrame, group_cols: list[str], target: int = L.TAR
     out = out.withColumn("_left2", F.col("_left1") - F.sum("_add1").over(per))
     limit2 = F.when(F.col("bucket") == "other", F.col("_goal")).otherwise(stretch)
     out = out.withColumn("_room2", F.greatest(F.lit(0), F.least(F.col("bucket_size"), limit2) - F.col("_slots1")))
-    by_supply = per.orderBy(F.col("bucket_size").desc(), F.col("_goal").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    by_supply = per.orderBy(F.col("bucket_size").desc(), F.col("_goal").desc(), "bucket").rowsBetween(Window.unboundedPreceding, -1)
     before2 = F.coalesce(F.sum("_room2").over(by_supply), F.lit(0))
     out = out.withColumn("_add2", F.greatest(F.lit(0), F.least("_room2", F.col("_left2") - before2)))
     return out.select(*group_cols, "bucket", "bucket_size", "total_available", F.col("target").cast("long").alias("target"),

@@ -44,7 +44,7 @@ UNION ALL SELECT '', category, COUNT(*), COUNT(brand), COUNT(*) - COUNT(brand),
 
 
 def _daily_unmatched(s, d):
-    words = F.slice(F.split("text", r"\s+"), 1, 3)
+    words = F.split("text", r"\s+")
     return view_documents(s, d).select(F.col("source").alias("region"), F.to_json(words).alias("names"),
                                        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("run_date"))
 
@@ -56,7 +56,7 @@ def view_documents(s, d):
 
 
 register("unmatched_brand_frequency", lambda s, d: c.unmatched_brand_frequency(_daily_unmatched(s, d), "2024-01-31", 20), """
-SELECT name, COUNT(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\s+')[1:3]) AS name, DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS rd FROM documents) x
+SELECT name, COUNT(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS name, DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS rd FROM documents) x
 WHERE rd >= DATE '2024-01-31' - 20 AND length(name) >= 3 GROUP BY name ORDER BY n DESC, name LIMIT 50""")
 _susp = {
     "sale_gt_original": "sale_price > original_price", "zero_weight": "weight_value = 0", "extreme_discount_high": "discount_percent > 80",

@@ -263,7 +263,7 @@ register("unmatched_candidates", lambda s, d: ls.unmatched_candidates(ls.parse_l
 def _daily(s, d):
     from leafmart.bridge import base_table
 
-    words = F.slice(F.split("text", r"\s+"), 1, 3)
+    words = F.split("text", r"\s+")
     return base_table(s, d, "documents").select(F.col("source").alias("region"), words.alias("names"),
                                                F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("run_date"))
 

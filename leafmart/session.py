@@ -30,7 +30,8 @@ def get_session(app: str = "leafmart", master: str | None = None, shuffle_partit
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; only when it is unset a scratch folder is used (tests)."""
+    """Folder named by ``spark.checkpoint.dir``. It must be set on a cluster; a local session without it takes a scratch
+    folder, which driver and executors share there."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured:
@@ -38,6 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmart-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -18,6 +18,10 @@ SHINGLE = 5
 PERCENT, PART = 80, 4
 #: Size bands start at 4, 16, 64, ...; below DELETIONS a segment is also indexed with each one element left out.
 BAND, DELETIONS = 4, 64
+#: Random orders in which sets under a key meet a neighbour.
+ORDERS = 8
+#: Size of the bit table of the elements of hollow sets, as a power of two.
+HOLLOW_BITS = 22
 #: Distinct sets that a task remembers, so that copies are sent on once.
 REMEMBERED = 4_000_000
 
@@ -40,7 +44,7 @@ def segments(start: int) -> int:
     The cost of a band is its index rows: with deletions, segments of several elements count twice and few suffice; without,
     one row a segment, about six for four differences at the band's upper end.
     """
-    return {4: 6, 16: 12}.get(start, start * 3 // 2 + 8)
+    return {4: 6, 16: 12}.get(start, start * 3 // 2 + 40)
 
 
 @cache
@@ -50,7 +54,8 @@ def used_segments(start: int) -> np.ndarray:
     n, m = np.arange(BAND * start + 1, dtype=np.float64), segments(start)
     if start < DELETIONS:
         return np.full(len(n), m)
-    wanted = (1.2 * (n // PART + 1) + 5) / (1 - np.exp(-np.maximum(n, 1) / m))
+    least = n // PART + 1
+    wanted = (least + 4 * np.sqrt(least) + 4) / (1 - np.exp(-np.maximum(n, 1) / m))
     wanted[: start * PERCENT // 100] = 0
     return np.minimum(m, np.ceil(np.maximum.accumulate(wanted))).astype(np.int64)
 
@@ -77,13 +82,24 @@ def shingle_sets(column: pa.Array, seed: int = 0) -> Iterator[tuple[int, int, np
                 more = i < count[short]
                 extra[more] = mix(extra[more] * _MULTIPLIER + word[left[more] + i])
             h, of = np.concatenate((h, mix(extra + count[short].astype(np.uint64)))), np.concatenate((of, short))
-        order = np.lexsort((h, of))
-        h, of = h[order], of[order]
+        h, of = by_document(h, of)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
         yield shard.first, shard.last, h[new], of[new]
 
 
+def by_document(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by document, then hash; one sort where the leading bits of the hashes tell them apart."""
+    bits = np.uint64(max(1, int(of.max(initial=0)).bit_length()))
+    lead = of.astype(np.uint64) << (np.uint64(64) - bits) | h >> bits
+    order = np.argsort(lead)
+    lead, x, y = lead[order], h[order], of[order]
+    if ((lead[1:] == lead[:-1]) & (x[1:] != x[:-1])).any():
+        order = np.lexsort((h, of))
+        x, y = h[order], of[order]
+    return x, y
+
+
 def sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """Sum modulo 2**64 by document; `of` ascends."""
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
@@ -91,6 +107,18 @@ def sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return total[edge[1:]] - total[edge[:-1]]
 
 
+def placed(h: np.ndarray, of: np.ndarray, size: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Elements that fall into segments in use, their documents and segments, and which documents are in small bands."""
+    m, used, small = np.ones(len(start), np.int64), np.zeros(len(start), np.int64), np.zeros(len(start), bool)
+    for b in np.unique(start[start > 0]).tolist():
+        mine = start == b
+        m[mine], small[mine] = segments(b), b < DELETIONS
+        used[mine] = used_segments(b)[np.minimum(size[mine], BAND * b)]
+    segment = (mix(h + start[of].astype(np.uint64)) >> np.uint64(16)).astype(np.int64) % m[of]
+    keep = (segment < used[of]) & (start[of] > 0)
+    return h[keep], of[keep], segment[keep], small
+
+
 def segment_keys(h: np.ndarray, of: np.ndarray, size: np.ndarray, start: np.ndarray, cross: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, key, tag) of the segments of sets under the bands that begin at `start` (0: none).
 
@@ -98,16 +126,7 @@ def segment_keys(h: np.ndarray, of: np.ndarray, size: np.ndarray, start: np.ndar
     none of them empty. tag = segment * 8 + weight * 2 + cross: a segment of weight w gives a key in common with every set that
     differs from it in less than w elements.
     """
-    bands = np.unique(start[start > 0])
-    m, used, small = np.ones(len(start), np.int64), np.zeros(len(start), np.int64), np.zeros(len(start), bool)
-    for b in bands.tolist():
-        mine = start == b
-        m[mine], small[mine] = segments(b), b < DELETIONS
-        used[mine] = used_segments(b)[np.minimum(size[mine], BAND * b)]
-    of_all = of
-    segment = (mix(h + start[of].astype(np.uint64)) >> np.uint64(16)).astype(np.int64) % m[of]
-    keep = (segment < used[of]) & (start[of] > 0)
-    h, of, segment = h[keep], of_all[keep], segment[keep]
+    h, of, segment, small = placed(h, of, size, start)
     order = np.lexsort((segment, of))
     h, of, segment = mix(h[order] + np.uint64(77)), of[order], segment[order]
     new = np.ones(len(h), bool)
@@ -143,25 +162,59 @@ def weights(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     """Sum of the weights of a set's segments in its own band and in the next one (-1: not there)."""
     size = np.bincount(of, minlength=n)
     out = []
-    for cross, start in enumerate(bands(size)):
-        doc, _, tag = segment_keys(h, of, size, start, cross)
-        once = np.unique(np.stack((doc, tag)), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
-        out.append(np.where(start > 0, np.bincount(once[0], (once[1] >> 1 & 3).astype(float), minlength=n).astype(np.int64), -1))
+    for start in bands(size):
+        _, doc, segment, small = placed(h, of, size, start)
+        once, times = np.unique(doc << 32 | segment, return_counts=True)
+        weight = 1 + ((times > 1) & small[once >> 32])
+        out.append(np.where(start > 0, np.bincount(once >> 32, weight.astype(float), minlength=n).astype(np.int64), -1))
     return out[0], out[1]
 
 
-FEATURES = "struct<n: long, node: long, check: long, own: long, above: long>"
+FEATURES = "struct<n: long, node: long, check: long, own: long, above: long, parts: binary, steps: array<long>>"
+#: Parts of the universe whose element counts are kept with a node.
+PARTS = 64
+
+
+def part_counts(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Elements of each set in each part of the universe, up to 65,535."""
+    part = (mix(h + np.uint64(5)) >> np.uint64(58)).astype(np.int64)
+    return np.minimum(np.bincount(of * PARTS + part, minlength=n * PARTS), 0xFFFF).astype("<u2").reshape(n, PARTS)
+
+
+def unary(counts: np.ndarray) -> np.ndarray:
+    """Counts up to eight as so many bits, eight parts in a number: different bits are a lower bound of different elements."""
+    return ((1 << np.minimum(counts, 8).astype(np.int64)) - 1).astype(np.uint8).reshape(-1).view(np.int64)
+
+
+def steps_apart(one: str, two: str) -> F.Column:
+    return sum((F.bit_count(F.get(one, F.lit(i)).bitwiseXOR(F.get(two, F.lit(i)))) for i in range(PARTS // 8)), F.lit(0))
+
+
+def may_be_linked(n_u: pa.Array, n_v: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
+    """False where the counts of the parts alone differ by more than two linked sets do."""
+    a, b = (np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, PARTS).astype(np.int64) for x in (one, two))
+    total = n_u.to_numpy(zero_copy_only=False) + n_v.to_numpy(zero_copy_only=False)
+    apart = np.abs(a - b).sum(axis=1)
+    return pa.array((100 + PERCENT) * apart <= (100 - PERCENT) * total)
+
 
 
 def features(column: pa.Array, seed: int) -> pa.Array:
     out: list[list[np.ndarray]] = [[] for _ in range(5)]
+    counts: list[bytes] = []
+    steps: list[np.ndarray] = []
     for first, last, h, of in shingle_sets(column, seed):
         n = last - first
         size = np.bincount(of, minlength=n)
         two = [mix(sums(mix(h + np.uint64(s)), of, n) + size.astype(np.uint64)).view(np.int64) for s in (1, 2)]
         for values, x in zip(out, (size, *two, *weights(h, of, n)), strict=True):
             values.append(x)
-    return pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], ["n", "node", "check", "own", "above"])
+        counts += [row.tobytes() for row in part_counts(h, of, n)]
+        steps.append(unary(part_counts(h, of, n)))
+    flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out]
+    rows = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * (PARTS // 8))
+    bits = pa.ListArray.from_arrays(rows, pa.array(np.concatenate(steps) if steps else np.zeros(0, np.int64)))
+    return pa.StructArray.from_arrays([*flat, pa.array(counts, pa.binary()), bits], ["n", "node", "check", "own", "above", "parts", "steps"])
 
 
 def key_rows(column: pa.Array, seed: int, seen: set[int]) -> pa.RecordBatch:
@@ -210,7 +263,7 @@ class Join:
         self.docs, self.seed = docs.withColumn("mark", F.xxhash64("text")), seed
         found = F.arrow_udf(lambda column: features(column, seed), FEATURES)
         self.sets = staged(self.docs.select("doc_id", "mark", found("text").alias("f")).select("doc_id", "mark", "f.*"))
-        one = [F.first(x).alias(x) for x in ("n", "own", "above")]
+        one = [F.first(x).alias(x) for x in ("n", "own", "above", "parts", "steps")]
         grouped = self.sets.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.min("doc_id").alias("least"), (F.min("check") != F.max("check")).alias("mixed"), *one)
         self.nodes = staged(grouped)
 
@@ -219,7 +272,7 @@ class Join:
         return self.nodes.where("mixed").limit(1).count() > 0
 
     def index(self) -> DataFrame:
-        """(key, node, tag, prev, df) of the keys that several sets share, prev being the set before in the order of nodes."""
+        """(key, node, tag, df) of the keys that several sets share, df being how often a key comes."""
         seed = self.seed
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,17 +282,28 @@ class Join:
 
         keys = self.docs.select("text").mapInArrow(rows, "key long, node long, tag int")
         same = Window.partitionBy("key")
-        shared = keys.withColumn("prev", F.lag("node").over(same.orderBy("node"))).withColumn("df", F.count("*").over(same))
-        shared = shared.withColumn("several", F.min("node").over(same) != F.max("node").over(same))
+        shared = keys.withColumn("df", F.count("*").over(same)).withColumn("several", F.min("node").over(same) != F.max("node").over(same))
         return staged(shared.where("several").drop("several"))
 
+    def first_pairs(self, index: DataFrame) -> DataFrame:
+        """A few pairs for each set, those most likely linked: under each key the set that shares most (an original among its
+        edited copies), and the neighbour in one of ORDERS random orders."""
+        central = index.groupBy("node").agg(F.sum("df").alias("central"))
+        same = Window.partitionBy("key")
+        known = index.join(central, "node")
+        lead = F.max(F.struct("central", "node")).over(same)["node"]
+        before = F.lag("node").over(same.orderBy(F.xxhash64("node", F.pmod("key", F.lit(ORDERS))), "node"))
+        each = known.select("node", lead.alias("lead"), before.alias("before")).select("node", F.explode(F.array("lead", "before")).alias("other"))
+        return each.where("other is not null and other <> node").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links (u, v) among pairs (u, v) of nodes: sizes first, then the shingles of both texts."""
+        """Links (u, v) among pairs (u, v) of nodes: sizes first, then counts by part, then the shingles of both texts."""
         sized = pairs
         for x in ("u", "v"):
-            sized = sized.join(self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"rep_{x}")), x)
+            sized = sized.join(self.nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "rep", "parts")]), x)
         fits = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * PERCENT
-        sized = staged(sized.where(fits).select("u", "v", "rep_u", "rep_v"))
+        near = F.arrow_udf(may_be_linked, "boolean")("n_u", "n_v", "parts_u", "parts_v")
+        sized = staged(sized.where(fits).where(near).select("u", "v", "rep_u", "rep_v"))
         texts = self.docs.where(F.col("text").isNotNull()).select("doc_id", "mark", "text")
         for x in ("u", "v"):
             mine = texts.withColumnsRenamed({"doc_id": f"id_{x}", "mark": f"mark_{x}", "text": f"text_{x}"})
@@ -255,18 +319,21 @@ class Join:
         """
         known = index.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         apart = known.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-        rest = staged(known.join(apart, "key").select("key", "node", "tag", "comp", "df"))
-        open_segments = rest.groupBy("node", "tag").agg(F.sum("df").alias("cost")).withColumn("weight", F.shiftright("tag", 1).bitwiseAND(3)).withColumn("cross", F.col("tag").bitwiseAND(1))
+        sizes = self.nodes.select("node", "n", "own", "above", "steps")
+        rest = staged(known.join(apart, "key").join(sizes, "node").select("key", "node", "tag", "comp", "df", "n", "own", "above", "steps"))
+        open_segments = rest.groupBy("node", "tag", "n", "own", "above").agg(F.sum("df").alias("cost")).withColumn("weight", F.shiftright("tag", 1).bitwiseAND(3)).withColumn("cross", F.col("tag").bitwiseAND(1))
         unit = Window.partitionBy("node", "cross")
         cheap = unit.orderBy("cost", "tag").rowsBetween(Window.unboundedPreceding, -1)
-        sized = open_segments.join(self.nodes.select("node", "n", "own", "above"), "node")
         left = F.when(F.col("cross") == 0, F.col("own")).otherwise(F.col("above")) - F.sum("weight").over(unit)
         missing = F.floor(F.col("n") / PART) + 1 - left
-        chosen = sized.withColumn("missing", missing).withColumn("before", F.coalesce(F.sum("weight").over(cheap), F.lit(0))).where("before < missing").select("node", "tag")
-        probe = rest.join(chosen, ["node", "tag"]).select("key", F.col("node").alias("u"), F.col("comp").alias("comp_u"))
-        other = rest.select("key", F.col("node").alias("v"), F.col("comp").alias("comp_v"))
-        pairs = probe.join(other, "key").where("comp_u <> comp_v")
-        return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        chosen = open_segments.withColumn("missing", missing).withColumn("before", F.coalesce(F.sum("weight").over(cheap), F.lit(0))).where("before < missing").select("node", "tag")
+        probe = rest.join(chosen, ["node", "tag"]).select("key", *[F.col(c).alias(f"{c}_u") for c in ("node", "comp", "n", "steps")])
+        other = rest.select("key", *[F.col(c).alias(f"{c}_v") for c in ("node", "comp", "n", "steps")])
+        # the smaller set of a pair vouches for it, the smaller number where they are equal
+        larger = (F.col("n_v") > F.col("n_u")) | ((F.col("n_v") == F.col("n_u")) & (F.col("node_v") > F.col("node_u")))
+        fits = (F.col("n_u") * 100 >= F.col("n_v") * PERCENT) & (steps_apart("steps_u", "steps_v") * (100 + PERCENT) <= (F.col("n_u") + F.col("n_v")) * (100 - PERCENT))
+        pairs = probe.join(other, (probe["key"] == other["key"]) & (F.col("comp_u") != F.col("comp_v")) & larger & fits)
+        return pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
 
     def hollow_links(self) -> DataFrame | None:
         """Links of sets whose segments weigh too little to be sure (their elements fall into very few segments): all their
@@ -277,17 +344,26 @@ class Join:
         if low is None:
             return None
         seed, least, most = self.seed, low * PERCENT // 100, high * 100 // PERCENT + 1
+        spark = self.docs.sparkSession
 
-        def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def elements(batches: Iterator[pa.RecordBatch], bits=None) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, last, h, of in shingle_sets(batch.column(0), seed):
                     n = last - first
                     size = np.bincount(of, minlength=n)
                     node = mix(sums(mix(h + np.uint64(1)), of, n) + size.astype(np.uint64)).view(np.int64)
                     fits = ((size >= least) & (size <= most))[of]
+                    if bits is not None:
+                        fits &= bits.value[(h >> np.uint64(64 - HOLLOW_BITS)).astype(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(h[fits].view(np.int64)), pa.array(node[of[fits]]), pa.array(size[of[fits]])], ["h", "node", "n"])
 
-        every = self.docs.select("text").mapInArrow(elements, "h long, node long, n long").distinct()
+        # a table of bits, of one size at any input, lets through little but the elements of hollow sets
+        reps = self.nodes.join(hollow.select("node"), "node").select("rep.*").withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"})
+        theirs = self.docs.join(reps, F.expr("doc_id <=> _doc and mark = _mark")).select("text").mapInArrow(elements, "h long, node long, n long")
+        table = np.zeros(1 << HOLLOW_BITS, bool)
+        table[theirs.select(F.shiftrightunsigned("h", 64 - HOLLOW_BITS).alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
+        bits = spark.sparkContext.broadcast(table)
+        every = self.docs.select("text").mapInArrow(lambda batches: elements(batches, bits), "h long, node long, n long").distinct()
         mine = every.join(hollow.select("node"), "node", "left_semi").withColumnsRenamed({"node": "u", "n": "n_u"})
         met = mine.join(every.withColumnsRenamed({"node": "v", "n": "n_v"}), "h").where("u <> v").groupBy("u", "v", "n_u", "n_v").agg(F.count("*").alias("common"))
         return staged(met.where(F.col("common") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("common")) * PERCENT).select("u", "v"))
@@ -303,8 +379,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component; a null doc_id counts only where there is no other; an empty table gives no rows.
 
     Equal sets are one node. The universe of shingles is cut into segments by size band; sets that differ little share a
-    segment, or one less an element. Neighbours under a key are verified first; most keys then lie inside one component, and
-    what other pairs are still possible is bounded by `open_pairs`. Shingles and nodes are 64-bit hashes; different sets under
+    segment, or one less an element. A few likely pairs of each set are verified first; most keys then lie inside one
+    component, and what other pairs are still possible is bounded by `open_pairs`. Shingles and nodes are 64-bit hashes; different sets under
     one node number are detected, and the join runs with another seed.
     """
     bounded_batches(docs.sparkSession)
@@ -316,8 +392,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         raise ValueError("different sets share node numbers under four seeds")
     index = join.index()
-    near = index.where("prev is not null and prev <> node").select(F.col("prev").alias("u"), F.col("node").alias("v")).distinct()
-    links = join.verified(near)
+    links = join.verified(join.first_pairs(index))
     comps = components(links)
     more = join.verified(join.open_pairs(index, comps))
     links = links.unionByName(more)

@@ -25,7 +25,7 @@ STRAIN_BLOCKERS = [
     (r"\bhaze\s+(?:og|kush|berry|dawg|diesel|cake|cookies|dream|punch|wreck|star|pie|queen|king|widow|mac|zkittlez)\b", "Haze"),
     (r"\b(?:white|pink|gelatti|gelato|tropical|gruntz|rainbow|grape|obama|gummy|blue|apple|peach|mango|banana|melon|cherry|strawberry|lemon"
      r"|orange|potato|candy)\s+runtz\b", "Runtz"),
-    (r"\bthe\s+church\b", "Church"), (r"\b5th\s+element\b", "Element"), (r"\bseche\s+select\b", "SELECT"), (r"\bselect\s+\$[0-9]+", "SELECT"),
+    (r"\bthe\s+church\b", "Church"), (r"\b5th\s+element\b", "Element"), (r"\bseche\s+select\b", "SELECT"), (r"\bselect\s+\$\d+", "SELECT"),
     (r"\bselect\s+(?:eighths?|strains?|items?|products?)\b", "SELECT"), (r"\b(?:live|cured|diamond)\s+sauce\b", "Sauce Essentials"),
     (r"\b(?:ice|variety|infused\s+ice|infused)\s+packs?\b", "PACKS"), (r"\bplus\s+(?:tax|free|more|extra|shipping|delivery)\b", "PLUS"),
     (r"\b(?:french|cinnamon)\s+toast\b", "Toast"), (r"\bterra\s+(?:cotta|firma)\b", "Terra"),

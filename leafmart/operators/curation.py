@@ -24,6 +24,8 @@ from leafmart.operators.ranking import (
 # ---------------------------------------------------------------------------
 # Daily top list
 # ---------------------------------------------------------------------------
+#: Best offers of a store, category and brand that stay candidates for the store's minimum.
+STORE_ROWS = 8
 _POOL_FIELDS = ["id", "dispensary_id", "chain", "name", "brand", "category", "product_subtype", "bucket", "tier", "deal_score", "sale_price",
                 "weight_value", "pool_rank", "slots", "total_available", "target"]
 
@@ -57,6 +59,10 @@ def selection_pool(deals: DataFrame, group_cols: list[str], most_picks: int) ->
     cut = top_per_group(ranked, [*cell, "brand"], order, p)
     cut = top_per_group(cut, [*cell, "name", "sale_price"], order, p)
     cut = top_per_group(cut, cell, order, 2 * most_picks * p + 1)
+    # a store without a pick gets its minimum from its own best offers: of each of its categories, and one per brand that is used up
+    own = top_per_group(ranked, [*group_cols, "dispensary_id", "category", "brand"], ["deal_score desc", "id"], STORE_ROWS)
+    own = top_per_group(own, [*group_cols, "dispensary_id", "category"], ["deal_score desc", "id"], STORE_ROWS * STORE_ROWS)
+    cut = cut.unionByName(own).dropDuplicates(["id"])
     position = Window.partitionBy(*group_cols, "bucket").orderBy(*order_of(order))
     cut = cut.withColumn("pool_rank", F.row_number().over(position).cast("long")).withColumn("chain", chain_of(F.coalesce("dispensary_id", F.lit(""))))
     return cut.join(slots.select(*group_cols, "bucket", "slots", "total_available", "target"), [*group_cols, "bucket"])
@@ -270,24 +276,16 @@ def curate(deals: list[dict]) -> list[dict]:
     return result[:L.TARGET_DEALS]
 
 
-MAX_GROUP_ROWS = 200_000
-
-
 def select_top_deals(deals: DataFrame, group_cols: list[str]) -> DataFrame:
     """Curated offers per group: columns of ``deals`` plus ``display_rank``.
 
-    A group that holds one store (the daily job) is bounded by ``selection_pool``. A wider group, such as a region,
-    also keeps rows for every store in it; its size is counted first and the job stops above ``MAX_GROUP_ROWS``
-    rather than load an unbounded group or drop rows.
+    A group that holds one store (the daily job) is bounded by ``selection_pool``. A wider group, such as a region, also
+    keeps rows for every store in it, and grows with the number of its stores only.
     """
     per_store = "dispensary_id" in group_cols
     # leaders, slots and cuts all read the offers again: compute them once
     deals = cut_lineage(deals)
     pool = selection_pool(deals, group_cols, L.BACKFILL_STORE_CAP if per_store else L.TARGET_DEALS + 5 * len(L.CATEGORY_TARGETS))
-    if not per_store:
-        biggest = pool.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-        if biggest > MAX_GROUP_ROWS:
-            raise ValueError(f"a group holds {biggest} candidate rows; group by store as well")
     keyed = pool.select(*[F.col(g).alias(f"g_{g}") for g in group_cols], *_POOL_FIELDS)
     schema = T.StructType([*[T.StructField(f"g_{g}", keyed.schema[f"g_{g}"].dataType) for g in group_cols],
                            T.StructField("id", T.StringType()), T.StructField("display_rank", T.LongType())])
@@ -522,25 +520,20 @@ def featured_by_discount(deals: DataFrame, group_cols: list[str], n: int = 5) ->
     overall = top_per_group(df, group_cols, order, 2 * n)
     cols = [*group_cols, *[c for c in ("id", "category", "dispensary_id", "_d") if c not in group_cols]]
     pool = by_cat.select(*cols).unionByName(by_store.select(*cols)).unionByName(overall.select(*cols)).distinct()
-    schema = T.StructType([*[T.StructField(g, pool.schema[g].dataType) for g in group_cols], T.StructField("id", T.StringType()),
-                           T.StructField("position", T.LongType())])
+    few = pool.groupBy(*group_cols).agg(F.collect_list(F.struct("id", "category", "dispensary_id", "_d")).alias("c"))
+    start = F.expr("cast(array() as array<struct<stale: int, rate: double, id: string, category: string, dispensary_id: string>>)")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["_d", "id"], ascending=[False, True]).to_dict("records")
-        got, stores, cats = [], set(), set()
-        for level in (2, 1, 0):
-            for r in rows:
-                if len(got) >= n or r["id"] in {g["id"] for g in got}:
-                    continue
-                if level and r["dispensary_id"] in stores or level == 2 and r["category"] in cats:
-                    continue
-                got.append(r)
-                stores.add(r["dispensary_id"])
-                if level == 2:
-                    cats.add(r["category"])
-        return pd.DataFrame({**{g: [k] * len(got) for g, k in zip(group_cols, key)}, "id": [g["id"] for g in got], "position": range(1, len(got) + 1)})
+    def pick(done: Column, _: Column) -> Column:
+        """What is new in both ways goes first, then a new store, then the rate."""
+        fresh = F.filter("c", lambda x: ~F.exists(done, lambda y: y["id"] == x["id"]))
+        placed = F.transform(fresh, lambda x: F.struct(
+            F.when(F.exists(done, lambda y: y["dispensary_id"] == x["dispensary_id"]), 2).when(F.exists(done, lambda y: (y["stale"] == 0) & (y["category"] == x["category"])), 1).otherwise(0).alias("stale"),
+            (-x["_d"]).cast("double").alias("rate"), x["id"].alias("id"), x["category"].alias("category"), x["dispensary_id"].alias("dispensary_id")))
+        best = F.array_min(placed)
+        return F.when(best.isNull(), done).otherwise(F.concat(done, F.array(best)))
 
-    return pool.groupBy(*group_cols).applyInPandas(run, schema)
+    picked = few.select(*group_cols, F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, pick).alias("p"))
+    return picked.select(*group_cols, F.posexplode("p").alias("position", "x")).select(*group_cols, F.col("x.id").alias("id"), (F.col("position") + 1).cast("long").alias("position"))
 
 
 def post_target() -> Column:
@@ -571,33 +564,30 @@ POST_BUCKETS = ["vape", "flower", "edible", "concentrate", "preroll"]
 
 def post_queue(deals: DataFrame, posted_today: DataFrame, region: str, max_per_day: int = 8, min_score: int = 50, max_price: float = 35,
                limit: int = 200) -> DataFrame:
-    """Offers to post: categories in turn, no brand twice, also not one posted today.
+    """Offers to post: categories in turn, no brand twice, also not one posted today; offers with ``is_posted`` never come again.
 
-    Only the ``limit`` best unposted offers are considered (a rule of the queue), so the last step sees at most that many rows.
+    Only the ``limit`` best unposted offers are considered (a rule of the queue), so the array that the fold runs over is
+    as short. A turn takes the best offer with an unused brand of the first category, from the one whose turn it is, that
+    has one; the next turn starts one category further on.
     """
-    best = top_n(deals.filter(F.col("deal_score") >= min_score), SCORE_ORDER, limit)
+    open_deals = deals.filter(~F.coalesce("is_posted", F.lit(False)))
+    best = top_n(open_deals.filter(F.col("deal_score") >= min_score), SCORE_ORDER, limit)
     price = F.coalesce("sale_price", "original_price")
     usable = best.filter((F.col("region") == region) & (price <= max_price) & (price > 0) & post_target())
     brand = F.lower(F.trim(F.coalesce("brand", F.lit("unknown"))))
-    usable = usable.withColumn("brand_key", brand)
+    few = usable.agg(F.collect_list(F.struct("id", "category", F.col("deal_score").cast("long").alias("score"), brand.alias("brand"))).alias("c"))
     today = posted_today.agg(F.count("*").alias("n_today"), F.collect_set(F.lower(F.trim("brand"))).alias("used"))
-    rows = usable.withColumn("_k", F.lit(1)).join(F.broadcast(today.withColumn("_k", F.lit(1))), "_k")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["deal_score", "id"], ascending=[False, True]).to_dict("records")
-        used, room = set(rows[0]["used"]), max_per_day - int(rows[0]["n_today"])
-        buckets = [b for b in ([r for r in rows if r["category"] == c] for c in POST_BUCKETS) if b]
-        out, turn = [], 0
-        while len(out) < room and buckets:
-            order = [buckets[(turn + k) % len(buckets)] for k in range(len(buckets))]
-            pick = next(((b, r) for b in order for r in b if r["brand_key"] not in used), None)
-            if pick is None:
-                break
-            pick[0].remove(pick[1])
-            out.append(pick[1])
-            used.add(pick[1]["brand_key"])
-            turn = (turn + 1) % len(buckets)
-        return pd.DataFrame({"id": [r["id"] for r in out], "position": range(1, len(out) + 1)})
-
-    return rows.select("_k", "id", "category", "deal_score", "brand_key", "n_today", "used").groupBy("_k").applyInPandas(
-        run, "id string, position long")
+    row = few.withColumn("_k", F.lit(1)).join(F.broadcast(today.withColumn("_k", F.lit(1))), "_k")  # one row each
+    turns = F.filter(F.array(*[F.lit(b) for b in POST_BUCKETS]), lambda b: F.exists("c", lambda x: x["category"] == b))
+    row = row.withColumn("turns", turns)
+    start = F.expr("cast(array() as array<struct<wait: int, worse: bigint, id: string, brand: string>>)")
+
+    def post(done: Column, i: Column) -> Column:
+        fresh = F.filter("c", lambda x: F.array_contains("turns", x["category"]) & ~F.array_contains("used", x["brand"]) & ~F.exists(done, lambda y: y["brand"] == x["brand"]))
+        placed = F.transform(fresh, lambda x: F.struct(
+            F.pmod(F.array_position("turns", x["category"]).cast("int") - 1 - i, F.size("turns")).alias("wait"), (-x["score"]).alias("worse"), x["id"].alias("id"), x["brand"].alias("brand")))
+        first = F.array_min(placed)
+        return F.when(first.isNull() | (i >= F.lit(max_per_day) - F.col("n_today")), done).otherwise(F.concat(done, F.array(first)))
+
+    posts = row.select(F.aggregate(F.sequence(F.lit(0), F.lit(max_per_day - 1)), start, post).alias("p"))
+    return posts.select(F.posexplode("p").alias("position", "x")).select("x.id", (F.col("position") + 1).cast("long").alias("position"))

@@ -141,7 +141,7 @@ _cn = f"trim(trim(regexp_replace({_cn}, '\\s{{2,}}', ' ', 'g')), '.,;:-|')"
 _cn = strip_sql(_cn, [t.BRACKET_WEIGHT, t.PAREN_WEIGHT_END])
 o.EXTRA["o_clean"] = f"SELECT *, CASE WHEN length(c) >= 3 THEN c ELSE trim(name) END AS clean FROM (SELECT *, trim(regexp_replace({_cn}, '\\s{{2,}}', ' ', 'g')) AS c FROM v_raw_listings) x"
 register("clean_name", lambda s, d: t.with_clean_name(raw(s, d), "name", "clean").select("id", "clean"), "SELECT id, clean FROM o_clean")
-_offer = "(?im)" + "|".join(t.OFFER_SECTIONS)
+_offer = t.OFFER_PATTERN
 o.EXTRA["o_offer_free"] = f"SELECT *, trim(regexp_replace(raw_text, {rx(_offer)}, '', 'g')) AS offer_free FROM o_clean"
 register("strip_offer_text", lambda s, d: raw(s, d).select("id", t.strip_offer_text(F.col("raw_text")).alias("rest")), "SELECT id, offer_free AS rest FROM o_offer_free")
 register("display_name", lambda s, d: t.with_display_name(raw(s, d).withColumn("b", F.col("scraped_brand")), "name", "b", "scraped_category", "raw_text", "display").select("id", "display"))

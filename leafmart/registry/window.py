@@ -206,8 +206,22 @@ def _feed(s, d):
 
 register("tier_shuffle", lambda s, d: cu.tier_shuffle(_feed(s, d), ["region"], "2001-08-01:"))
 register("spaced_feed", lambda s, d: cu.spaced_feed(_feed(s, d), ["region"]))
-register("featured_by_discount", lambda s, d: cu.featured_by_discount(live(s, d), ["region"]))
-register("post_queue", lambda s, d: cu.post_queue(live(s, d), ranking.top_n(live(s, d).filter("run_date = DATE '2001-07-31'"), ranking.SCORE_ORDER, 3), REGION))
+def _featured_sql(n: int = 5) -> str:
+    """Picks one after another: by how much is new, then the rate, then the id."""
+    ctes = ["c AS (SELECT region, id, category, dispensary_id, (original_price - sale_price) / original_price AS r FROM o_live WHERE original_price > sale_price)",
+            "p0 AS (SELECT DISTINCT region, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS stores, CAST([] AS VARCHAR[]) AS cats FROM c)"]
+    for k in range(n):
+        stale = "CASE WHEN list_contains(p.stores, c.dispensary_id) THEN 2 WHEN list_contains(p.cats, c.category) THEN 1 ELSE 0 END"
+        ctes.append(f"""q{k} AS (SELECT c.region, arg_min({{'i': c.id, 's': c.dispensary_id, 'c': c.category, 'k': {stale}}}, ({stale}, -c.r, c.id)) AS x
+  FROM c JOIN p{k} p ON p.region = c.region WHERE NOT list_contains(p.ids, c.id) GROUP BY c.region)""")
+        ctes.append(f"""p{k + 1} AS (SELECT p.region, list_append(p.ids, x.i) AS ids, list_append(p.stores, x.s) AS stores,
+  CASE WHEN x.k = 0 THEN list_append(p.cats, x.c) ELSE p.cats END AS cats FROM p{k} p JOIN q{k} q ON p.region = q.region)""")
+    return f"WITH {', '.join(ctes)} SELECT region, ids[i] AS id, CAST(i AS BIGINT) AS position FROM p{n}, unnest(range(1, {n + 1})) AS t(i)"
+
+
+register("featured_by_discount", lambda s, d: cu.featured_by_discount(live(s, d), ["region"]), _featured_sql())
+_unposted = lambda s, d: live(s, d).withColumn("is_posted", F.col("original_price") * 100 % 4 == 0)
+register("post_queue", lambda s, d: cu.post_queue(_unposted(s, d), ranking.top_n(live(s, d).filter("run_date = DATE '2001-07-31'"), ranking.SCORE_ORDER, 3), REGION))
 
 # --- streaming --------------------------------------------------------------------------------------------
 

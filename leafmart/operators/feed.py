@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmart import lookups as L
 from leafmart.functions import text as t
 from leafmart.operators.catalog import not_blocked
 from leafmart.operators.ranking import SCORE_ORDER, cap_per_brand, cap_per_chain, top_n
+from leafmart.session import cut_lineage
 
 
 def active_deals(scored: DataFrame, region: str | None = None, limit: int = 500) -> DataFrame:
@@ -160,6 +161,23 @@ def feed_sort_key(kind: str) -> list[Column]:
     return [keys[kind], F.col("id").asc()]
 
 
+def feed_ranks(offers: DataFrame, kind: str) -> DataFrame:
+    """(id, position) of every offer in the sorted feed.
+
+    Ranges of the sort key are sorted each for itself; a range's rows come after those of all ranges before, so one row a
+    range is all that meets in one place.
+    """
+    keys = feed_sort_key(kind)
+    narrow = offers.select("id", *[c for c in ("deal_score", "sale_price", "original_price", "miles") if c in offers.columns])
+    ranged = narrow.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", F.monotonically_increasing_id().alias("_at"))
+    # the number of a range and the place in it, fixed before both are used
+    placed = cut_lineage(ranged.select("id", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_row")))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(starts, "_range").select("id", (F.col("_before") + F.col("_row") + 1).alias("position"))
+
+
 def search(scored: DataFrame, query: str, region: str, curated: DataFrame | None = None, limit: int = 200, shown: int = 60) -> DataFrame:
     """Two-step search: the best ``limit`` live listings that contain the text, then those with a word that starts
     with it, without the curated ones and without accessories; exact brand, discount and price order the ``shown`` rows."""

@@ -15,17 +15,20 @@ from leafmart.functions.numbers import flag
 from leafmart.operators.ranking import top_per_group
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], seq: str, keep: list[str] | None = None) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], seq: str, keep: list[str] | None = None, by_seq: bool = False) -> DataFrame:
     """Target after inserting or overwriting by ``keys``; the last source row by ``seq`` wins, and the columns in
-    ``keep`` (first-seen stamps) stay as they were in the target. Columns the target lacks are dropped."""
+    ``keep`` (first-seen stamps) stay as they were in the target. Columns the target lacks are dropped.
+
+    With ``by_seq`` a target row of a higher ``seq`` wins over a late source row."""
     keep = keep or []
+    order = [seq, "_side"] if by_seq else ["_side", seq]
     cols = [c for c in target.columns]
     old = target.select(*cols, F.lit(0).alias("_side"))
     new = source.select(*[F.col(c) if c in source.columns else F.lit(None).alias(c) for c in cols], F.lit(1).alias("_side"))
     both = old.unionByName(new)
     rest = [c for c in cols if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct("_side", seq))
-    first = F.min_by(F.struct(*keep), F.struct("_side", seq)) if keep else None
+    newest = F.max_by(F.struct(*rest), F.struct(*order))
+    first = F.min_by(F.struct(*keep), F.struct(*order)) if keep else None
     grouped = both.groupBy(*keys).agg(newest.alias("_r"), *([first.alias("_k")] if keep else []))
     return grouped.select(*[F.col(c) if c in keys else (F.col(f"_k.{c}") if c in keep else F.col(f"_r.{c}")).alias(c) for c in cols])
 

@@ -93,10 +93,10 @@ SELECT point_id, store, CAST(round(CAST(miles AS DECIMAL(20,8)), 3) AS DOUBLE) A
 register("nearest_reference_point", lambda s, d: f.nearest_reference(view(s, d, "user_contacts"), POINTS, "lat", "lng").groupBy("nearest").agg(F.count("*").alias("n")), f"""
 SELECT nearest, COUNT(*) AS n FROM (SELECT c.id, arg_min(p.z, (power(p.lat - c.lat, 2) + power(p.lng - c.lng, 2), p.z)) AS nearest FROM v_user_contacts c, (VALUES {_pts}) p(z, lat, lng) GROUP BY c.id) x GROUP BY nearest""")
 for _kind, _sql in {"price_asc": "sale_price", "price_desc": "sale_price DESC", "discount": "(original_price - sale_price) / original_price * 100 DESC", "deal_score": "deal_score DESC"}.items():
-    register(f"feed_sort_{_kind}", lambda s, d, k=_kind: scored(s, d).filter(F.col("is_active") & (F.col("deal_score") > 0)).orderBy(*f.feed_sort_key(k)).limit(100).select("id"),
-             f"SELECT id FROM o_live ORDER BY {_sql}, id LIMIT 100")
-register("feed_sort_distance", lambda s, d: _with_store_distance(s, d).orderBy(*f.feed_sort_key("distance")).limit(100).select("id"),
-         "SELECT l.id FROM o_live l JOIN o_near n ON n.id = l.dispensary_id ORDER BY COALESCE(n.miles, 999), l.id LIMIT 100")
+    register(f"feed_sort_{_kind}", lambda s, d, k=_kind: f.feed_ranks(scored(s, d).filter(F.col("is_active") & (F.col("deal_score") > 0)), k).select("id", "position"),
+             f"SELECT id, row_number() OVER (ORDER BY {_sql}, id) AS position FROM o_live")
+register("feed_sort_distance", lambda s, d: f.feed_ranks(_with_store_distance(s, d), "distance").select("id", "position"),
+         "SELECT l.id, row_number() OVER (ORDER BY COALESCE(n.miles, 999), l.id) AS position FROM o_live l JOIN o_near n ON n.id = l.dispensary_id")
 
 
 def _with_store_distance(s, d):
@@ -226,18 +226,25 @@ register("post_queue", lambda s, d: cu.post_queue(_unposted(s, d), ranking.top_n
 # --- streaming --------------------------------------------------------------------------------------------
 
 
-def _stream(s, d, name="analytics_events", table="events"):
-    src = jobs.file_stream(s, d, f"{table}.parquet", bridge.base_table(s, d, table).schema)
-    return s.sql(bridge.with_views(f"SELECT * FROM v_{name}", spark_sql=True), **{table: src})
+def _pieces(s, d, table, key, n=4):
+    """A stream over the table in ``n`` files, one a batch; the pieces are ranges of a hash, so late rows are common."""
+    rows = bridge.base_table(s, d, table)
+    folder = jobs.work_folder(s, table)
+    rows.withColumn("piece", F.pmod(F.xxhash64(key), F.lit(n))).repartition(n, "piece").write.partitionBy("piece").parquet(folder)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def _stream(s, d, name="analytics_events", table="events", key="event_id"):
+    return s.sql(bridge.with_views(f"SELECT * FROM v_{name}", spark_sql=True), **{table: _pieces(s, d, table, key)})
 
 
 def _run_feed(s, d):
-    src = jobs.file_stream(s, d, "orders.parquet", bridge.base_table(s, d, "orders").schema)
+    src = _pieces(s, d, "orders", "o_orderkey")
     # a run reports as running first and as finished later; rows of a customer stand for one run id
     rows = src.select((F.col("o_custkey")).alias("id"), F.col("o_orderstatus").alias("status"), F.struct("o_orderdate", "o_orderkey").alias("seq"))
     root = jobs.work_folder(s, "runs")
-    last = jobs.run_state_feed(rows, root)
-    return jobs.latest(s, root, last).select("id", "status")
+    jobs.run_state_feed(rows, root)
+    return jobs.latest(s, root).select("id", "status")
 
 
 register("run_state_feed", _run_feed, "SELECT o_custkey AS id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY 1")
@@ -245,7 +252,8 @@ register("run_state_feed", _run_feed, "SELECT o_custkey AS id, arg_max(o_orderst
 
 def _sessions(s, d):
     root = jobs.work_folder(s, "sessions")
-    out = jobs.latest(s, root, jobs.session_touch(_stream(s, d), root))
+    jobs.session_touch(_stream(s, d), root)
+    out = jobs.latest(s, root)
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return out.select("user_id", us("first_seen").alias("first_seen"), us("last_seen").alias("last_seen"), F.coalesce("touch.source", F.lit("")).alias("source"))
 
@@ -261,19 +269,22 @@ SELECT user_id, day, sec AS seconds, CAST((sec >= 60)::INT + (sec >= 180)::INT +
 def _ingest(s, d):
     root = jobs.work_folder(s, "ingest")
     jobs.event_ingest(_stream(s, d), root, cap=2)
-    return s.read.parquet(f"{root}/accepted").select("id")
+    # which two events of a day are first depends on the order of arrival, how many are accepted does not
+    return s.read.option("basePath", f"{root}/accepted").parquet(f"{root}/accepted/v=*").groupBy("anon_id", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
-register("event_ingest", _ingest, "SELECT id FROM v_analytics_events QUALIFY row_number() OVER (PARTITION BY anon_id, CAST(created_at AS DATE) ORDER BY created_at, id) <= 2")
+register("event_ingest", _ingest, "SELECT anon_id, strftime(created_at, '%Y-%m-%d') AS day, least(2, COUNT(*)) AS n FROM v_analytics_events GROUP BY 1, 2")
 
 
-def _saves(s, d):
+def _saves(s, d, slide):
     root = jobs.work_folder(s, "saves")
-    out = s.read.parquet(jobs.hourly_saves(_stream(s, d), root, "1 hour", None))
-    return out.select("deal_id", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "saves")
+    jobs.window_saves(_stream(s, d), root, "1 hour", slide, delay="400 days")
+    return jobs.latest(s, root).select("deal_id", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "saves")
 
 
-register("hourly_saves", _saves, """
-WITH s AS (SELECT k AS deal_id, date_trunc('hour', created_at) AS w, COUNT(*) AS saves FROM v_analytics_events WHERE event_name = 'deal_saved' GROUP BY 1, 2)
-SELECT deal_id, strftime(w, '%Y-%m-%d %H:%M') AS window_start, saves FROM s
-WHERE w + INTERVAL '1' HOUR <= (SELECT MAX(created_at) FROM v_analytics_events WHERE event_name = 'deal_saved') - INTERVAL '10' MINUTE""")
+_save_events = "SELECT k AS deal_id, created_at FROM v_analytics_events WHERE event_name = 'deal_saved'"
+register("hourly_saves", lambda s, d: _saves(s, d, None), f"""
+SELECT deal_id, strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M') AS window_start, COUNT(*) AS saves FROM ({_save_events}) x GROUP BY 1, 2""")
+register("sliding_saves", lambda s, d: _saves(s, d, "5 minutes"), f"""
+SELECT deal_id, strftime(to_timestamp(300 * (CAST(floor(epoch(created_at)) AS BIGINT) // 300 - i)) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS window_start, COUNT(*) AS saves
+FROM ({_save_events}) x, unnest(range(0, 12)) AS t(i) GROUP BY 1, 2""")

@@ -1,7 +1,8 @@
 """The four continuous jobs as Structured Streaming queries over files.
 
 State that must survive (latest run rows, sessions, daily counters) lives in version folders written per micro-batch:
-batch n reads version n - 1 and writes version n, so a replayed batch overwrites its own version and nothing else.
+batch n reads the newest complete version below n and writes version n, so a replayed batch overwrites its own version and
+nothing else, and a restart without new files finds what is there.
 All folders lie under the cluster's checkpoint folder unless the caller names one.
 """
 
@@ -31,36 +32,45 @@ def version(root: str, batch_id: int) -> str:
     return f"{root}/v={batch_id:010d}"
 
 
+def complete_versions(spark: SparkSession, root: str) -> list[int]:
+    """Batch ids whose folder has been written to the end, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(f.getPath().getParent().getName()[2:]) for f in found or [])
+
+
 def previous(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    return spark.read.parquet(version(root, batch_id - 1)) if batch_id > 0 else None
+    below = [v for v in complete_versions(spark, root) if v < batch_id]
+    return spark.read.parquet(version(root, below[-1])) if below else None
 
 
-def run_to_end(stream: DataFrame, step: Callable[[DataFrame, int], None], root: str, mode: str = "append") -> int:
-    """Process everything that is there now; returns the last batch id."""
+def run_to_end(stream: DataFrame, step: Callable[[DataFrame, int], None], root: str, mode: str = "append") -> None:
+    """Process everything that is there now."""
     q = (stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return max((p["batchId"] for p in q.recentProgress), default=0)
 
 
-def latest(spark: SparkSession, root: str, last_batch: int) -> DataFrame:
-    return spark.read.parquet(version(root, last_batch))
+def latest(spark: SparkSession, root: str) -> DataFrame:
+    """Newest complete version."""
+    return spark.read.parquet(version(root, complete_versions(spark, root)[-1]))
 
 
-def run_state_feed(stream: DataFrame, root: str, key: str = "id", seq: str = "seq") -> int:
-    """Latest row per run from inserts and updates; the running ones are those whose status says so."""
+def run_state_feed(stream: DataFrame, root: str, key: str = "id", seq: str = "seq") -> None:
+    """Latest row per run by ``seq`` from inserts and updates, also when they come late; the running ones are those whose
+    status says so."""
     def step(batch: DataFrame, batch_id: int) -> None:
         before = previous(batch.sparkSession, root, batch_id)
         base = batch.limit(0) if before is None else before
-        upsert(base, batch, [key], seq).write.mode("overwrite").parquet(version(root, batch_id))
+        upsert(base, batch, [key], seq, by_seq=True).write.mode("overwrite").parquet(version(root, batch_id))
 
-    return run_to_end(stream, step, root)
+    run_to_end(stream, step, root)
 
 
 MILESTONES = [60, 180, 300, 600]
 
 
-def session_touch(stream: DataFrame, root: str) -> int:
+def session_touch(stream: DataFrame, root: str) -> None:
     """Sessions by user: first and last touch, and the first source ever seen (never overwritten).
 
     Each batch is reduced to one row per user before it meets the stored sessions.
@@ -78,7 +88,7 @@ def session_touch(stream: DataFrame, root: str) -> int:
         now = merged(rows)
         merged(now if before is None else now.unionByName(before)).write.mode("overwrite").parquet(version(root, batch_id))
 
-    return run_to_end(stream, step, root)
+    run_to_end(stream, step, root)
 
 
 def session_milestones(events: DataFrame) -> DataFrame:
@@ -89,42 +99,47 @@ def session_milestones(events: DataFrame) -> DataFrame:
     return s.withColumn("milestones", passed.cast("long"))
 
 
-def event_ingest(stream: DataFrame, root: str, cap: int = 500, delay: str = "1 day") -> int:
-    """Appends events once per id and at most ``cap`` per user and day, counting what earlier batches accepted.
+def event_ingest(stream: DataFrame, root: str, cap: int = 500) -> None:
+    """Appends events once per id and at most ``cap`` per user and day, however late they come.
 
-    Accepted rows go to ``accepted/v=<batch>``, the running counters (one row per user and day) to ``counts/v=<batch>``.
+    Accepted rows go to ``accepted/v=<batch>/day=<day>``; a batch meets the accepted rows of its own days only, once by id and
+    once as a count per user and day.
     """
-    timed = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    unique = timed.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
+    accepted = f"{root}/accepted"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.filter(F.col("anon_id").isNotNull()).withColumn("day", F.to_date("created_at"))
-        before = previous(spark, f"{root}/counts", batch_id)
+        rows = batch.filter(F.col("anon_id").isNotNull()).withColumn("created_at", F.col("created_at").cast("timestamp"))
+        rows = rows.dropDuplicates(["id"]).withColumn("day", F.to_date("created_at"))
+        below = [version(accepted, v) for v in complete_versions(spark, accepted) if v < batch_id]
+        taken = F.lit(0)
+        if below:
+            days = F.broadcast(rows.select("day").distinct())  # a batch spans few days
+            before = spark.read.option("basePath", accepted).parquet(*below).join(days, "day", "left_semi")
+            rows = rows.join(before.select("id"), "id", "left_anti")
+            counts = before.groupBy("anon_id", "day").agg(F.count("*").alias("_n"))
+            rows, taken = rows.join(counts, ["anon_id", "day"], "left"), F.coalesce("_n", F.lit(0))
         order = Window.partitionBy("anon_id", "day").orderBy("created_at", "id")
-        ranked = rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cap)
-        if before is not None:
-            ranked = ranked.join(before.withColumnRenamed("n", "_n"), ["anon_id", "day"], "left").filter(
-                F.col("_rn") + F.coalesce("_n", F.lit(0)) <= cap).drop("_n")
-        path = version(f"{root}/accepted", batch_id)
-        ranked.drop("_rn").write.mode("overwrite").parquet(path)
-        counts = spark.read.parquet(path).groupBy("anon_id", "day").agg(F.count("*").alias("n"))
-        if before is not None:
-            counts = counts.unionByName(before).groupBy("anon_id", "day").agg(F.sum("n").alias("n"))
-        counts.write.mode("overwrite").parquet(version(f"{root}/counts", batch_id))
-
-    return run_to_end(unique, step, root)
-
-
-def hourly_saves(stream: DataFrame, root: str, size: str = "1 hour", slide: str | None = "5 minutes", delay: str = "10 minutes") -> str:
-    """Saves per offer in sliding (or, without a slide, tumbling) windows; a window is written once the watermark has
-    passed its end. Returns the output folder."""
+        kept = rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") + taken <= cap).drop("_rn", "_n")
+        kept.write.partitionBy("day").mode("overwrite").parquet(version(accepted, batch_id))
+
+    run_to_end(stream, step, root)
+
+
+def window_saves(stream: DataFrame, root: str, size: str = "1 hour", slide: str | None = "5 minutes", delay: str = "10 minutes") -> None:
+    """Saves per offer in sliding (or, without a slide, tumbling) windows, the running one included.
+
+    Each batch brings the windows that changed; the newest version holds the last count of every window. Rows later than
+    ``delay`` behind the newest are not counted, as their windows are closed.
+    """
     saves = stream.filter(F.col("event_name").isin(L.SAVE_EVENTS)).withColumn("at", F.col("created_at").cast("timestamp"))
     win = F.window("at", size, slide) if slide else F.window("at", size)
     counts = saves.withWatermark("at", delay).groupBy(win.alias("w"), F.col("k").alias("deal_id")).agg(F.count("*").alias("saves"))
     flat = counts.select("deal_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "saves")
-    out = f"{root}/windows"
-    q = (flat.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{root}/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        before = previous(batch.sparkSession, root, batch_id)
+        base = batch.limit(0) if before is None else before
+        upsert(base, batch, ["deal_id", "window_start", "window_end"], "saves", by_seq=True).write.mode("overwrite").parquet(version(root, batch_id))
+
+    run_to_end(flat, step, root, "update")

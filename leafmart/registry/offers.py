@@ -79,6 +79,18 @@ register("hard_filter_learned_caps",
                    COUNT(*) FILTER (WHERE reject_reason = 'price_cap') AS n_price_cap FROM o_dyn_hard GROUP BY region, category""")
 register("deal_score", lambda s, d: scored(s, d).select("id", F.col("deal_score").cast("long").alias("deal_score")),
          "SELECT id, CAST(deal_score AS BIGINT) AS deal_score FROM o_scored")
+#: Stand-in brands renamed to those of the default tiers, some with a word or letters behind, some unknown.
+_real = [x for n in [*L.BRAND_TIERS["premium"], *L.BRAND_TIERS["popular"]] for x in (n.title(), n + " co", n + "x")] + ["nobody"]
+
+
+def _real_brands(s, d):
+    at = F.pmod(F.round(F.col("sale_price") * 100).cast("long"), F.lit(len(_real))).cast("int")
+    return products(s, d).withColumn("brand", F.when(F.col("brand").isNotNull(), F.get(F.array(*[F.lit(n) for n in _real]), at)))
+
+
+register("deal_score_default_tiers", lambda s, d: pricing.scored(_real_brands(s, d)).select("id", F.col("deal_score").cast("long").alias("deal_score")), f"""
+SELECT id, CAST(CASE WHEN reject_reason IS NULL THEN {o.score_sql(L.BRAND_TIERS)} ELSE 0 END AS BIGINT) AS deal_score
+FROM (SELECT * REPLACE (CASE WHEN brand IS NOT NULL THEN [{', '.join(o.q(n) for n in _real)}][CAST(round(sale_price * 100) AS BIGINT) % {len(_real)} + 1] END AS brand) FROM o_hard) x""")
 register("quality_gates", lambda s, d: judged(s, d).select("id", "strict_ok", "relaxed_ok"),
          "SELECT id, strict_ok, relaxed_ok FROM o_judged")
 _copy = "|".join(L.SALE_COPY_PATTERNS).replace("'", "''")

@@ -136,25 +136,25 @@ SELECT v.*, r.state, r.price_cap, r.infused_cap, r.pack_cap FROM v_products v JO
 EXTRA["o_hard"] = hard_sql("o_capped")
 
 
-def brand_points_sql(brand: str = "brand") -> str:
+def brand_points_sql(brand: str = "brand", tiers: dict[str, list[str]] = BRIDGE_BRAND_TIERS) -> str:
     cases = []
     for tier, points in (("premium", 20), ("popular", 12)):
-        names = BRIDGE_BRAND_TIERS[tier]
+        names = tiers[tier]
         tests = [f"lower({brand}) IN {values_in(names)}"]
-        tests += [f"(starts_with(lower({brand}), {q(n)}) AND NOT regexp_matches(substr(lower({brand}), {len(n) + 1}, 1), '[a-z0-9]'))"
+        tests += [f"(starts_with(lower({brand}), {q(n)}) AND NOT regexp_matches(substr(lower({brand}), {len(n) + 1}, 1), '[\p{{L}}\p{{N}}]'))"
                   for n in names if len(n) > 3]
         cases.append(f"WHEN {' OR '.join(tests)} THEN {points}")
     return f"CASE WHEN {brand} IS NULL OR {brand} = '' THEN 0 {' '.join(cases)} ELSE 5 END"
 
 
-def score_sql() -> str:
+def score_sql(tiers: dict[str, list[str]] = BRIDGE_BRAND_TIERS) -> str:
     depth = " ".join(f"WHEN least(COALESCE(discount_percent, 0), 80) >= {a} THEN {p}" for a, p in L.DISCOUNT_POINTS)
     unit = "sale_price / weight_value"
     return f"""least(100,
   CASE WHEN source_platform IN ('jane','carrot','aiq') THEN 15 ELSE (CASE {depth} ELSE 0 END)
      + CASE WHEN original_price > 0 AND original_price > sale_price
             THEN least(10, CAST(floor((original_price - sale_price) / 2.5::DOUBLE) AS INT)) ELSE 0 END END
-  + {brand_points_sql()}
+  + {brand_points_sql(tiers=tiers)}
   + CASE WHEN COALESCE(weight_value, 0) <= 0 THEN 0
       WHEN category = 'flower' THEN CASE WHEN {unit} <= 3 THEN 15 WHEN {unit} <= 4.5 THEN 12 WHEN {unit} <= 6 THEN 8 WHEN {unit} <= 8 THEN 4 ELSE 0 END
       WHEN category = 'edible' THEN CASE WHEN {unit} * 100 <= 5 THEN 15 WHEN {unit} * 100 <= 8 THEN 10 WHEN {unit} * 100 <= 12 THEN 5 ELSE 0 END

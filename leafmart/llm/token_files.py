@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -21,6 +23,17 @@ FILES = "doc_id long, part int, at long, n_tokens long, control binary, data bin
 _coders: dict[int, WordCoder] = {}
 
 
+#: Letters with signs behind them, which are pieces of their own. No apostrophe: it may begin a piece with letters.
+SIGNS_BEHIND = re.compile(rb"([A-Za-z\x80-\xff]+)([!#$%&*,.:;?]+)")
+
+
+def lower_letters(word: str) -> str | None:
+    """The composed word in lower case where it is letters alone before and after; None else. A last sigma is lower-cased by
+    its place, so it is left to the tokenizer."""
+    low = unicodedata.normalize("NFC", word).lower()
+    return low if word.isalpha() and low.isalpha() and "\u03a3" not in word else None
+
+
 class WordCoder:
     """Ids of texts by a tokenizer whose pieces never span white space, from remembered words.
 
@@ -35,37 +48,55 @@ class WordCoder:
         vocabulary = self.coder.get_vocab(with_added_tokens=True)
         self.word_end = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.word_end[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.letters = letters_coder(definition)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """Ids of each text, then the end id."""
         split = [t.split() for t in texts]
-        young, old = self.young, self.old
-        unseen = set(chain.from_iterable(split)).difference(young)
-        fresh = []
-        for w in unseen:
-            if w in old:
-                young[w] = old[w]
-            else:
-                fresh.append(w)
-        for a in range(0, len(fresh), 200):
-            some = fresh[a : a + 200]
+        young = self.young
+        fresh, ended = [], []
+        for w in self.recall(set(chain.from_iterable(split))):
+            m = self.letters and SIGNS_BEHIND.fullmatch(w)
+            ended.append((w, *m.groups())) if m and lower_letters(m[1].decode("utf-8", "replace")) else fresh.append(w)
+        fresh += self.recall({part for _, *parts in ended for part in parts}.difference(fresh))
+        for a in range(0, len(fresh), 1000):
+            some = fresh[a : a + 1000]
             young.update(zip(some, self.encode_words([w.decode("utf-8", "replace") for w in some]), strict=True))
+        young.update((w, young[core] + young[signs]) for w, core, signs in ended)
         out = [b"".join(map(young.__getitem__, words)) + end for words in split]
         if len(young) > REMEMBERED:
             self.old, self.young = young, {}
         return out
 
+    def recall(self, some: set[bytes]) -> list[bytes]:
+        """Words that are not remembered; those of the older half are young again."""
+        unseen = []
+        for w in some.difference(self.young):
+            if w in self.old:
+                self.young[w] = self.old[w]
+            else:
+                unseen.append(w)
+        return unseen
 
     def encode_words(self, some: list[str]) -> list[bytes]:
-        """Words of letters alone are one piece each, so many of them go through in one text, parted at the ends of pieces."""
-        plain = [i for i, w in enumerate(some) if w.isalpha() and unicodedata.normalize("NFC", w).lower().isalpha()]
+        """Words of letters alone are one piece each; many of them go through the merges in one text, parted at the ends of
+        pieces. All others go through the whole tokenizer one by one."""
         out = dict.fromkeys(range(len(some)), b"")
-        ids = np.array(self.coder.encode_batch_fast([" ".join(some[i] for i in plain)], add_special_tokens=False)[0].ids, np.int64)
+        plain, words = [], []
+        if self.letters:
+            for i, w in enumerate(some):
+                if low := lower_letters(w):
+                    plain.append(i)
+                    words.append(low)
+        ids = np.zeros(0, np.int64)
+        if plain:
+            text = " ".join(words).encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.word_end[ids]) + 1
         if len(ends) != len(plain) or (len(ends) and ends[-1] != len(ids)):
-            plain, ends = [], ends[:0]  # a tokenizer without marked ends
+            plain, ends = [], ends[:0]
         raw, size, at = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize, 0
         for i, e in zip(plain, ends.tolist(), strict=True):
             out[i] = raw[at * size : e * size]
@@ -76,6 +107,23 @@ class WordCoder:
         return [out[i] for i in range(len(some))]
 
 
+#: Letters that byte-level pieces are written in: printable bytes stand for themselves, the others are moved up. Not the blank.
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)) if b != 32}
+
+
+def letters_coder(definition: str):
+    """The tokenizer's merges for words of letters that are lower-cased and written in byte letters already; None where the
+    steps before the merges are others than: compose, white space, lower case; letters as one piece; bytes."""
+    from tokenizers import Tokenizer
+
+    parts = json.loads(definition)
+    steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+    cuts = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or r"|[\p{L}]+|" not in cuts[0]["pattern"].get("Regex", ""):
+        return None
+    return Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+
+
 def word_coder(definition: str, kind: str) -> WordCoder:
     """One per worker process, kept between tasks."""
     key = zlib.crc32((kind + definition).encode())

@@ -141,7 +141,7 @@ def brand_points_sql(brand: str = "brand", tiers: dict[str, list[str]] = BRIDGE_
     for tier, points in (("premium", 20), ("popular", 12)):
         names = tiers[tier]
         tests = [f"lower({brand}) IN {values_in(names)}"]
-        tests += [f"(starts_with(lower({brand}), {q(n)}) AND NOT regexp_matches(substr(lower({brand}), {len(n) + 1}, 1), '[\p{{L}}\p{{N}}]'))"
+        tests += [rf"(starts_with(lower({brand}), {q(n)}) AND NOT regexp_matches(substr(lower({brand}), {len(n) + 1}, 1), '[\p{{L}}\p{{N}}]'))"
                   for n in names if len(n) > 3]
         cases.append(f"WHEN {' OR '.join(tests)} THEN {points}")
     return f"CASE WHEN {brand} IS NULL OR {brand} = '' THEN 0 {' '.join(cases)} ELSE 5 END"

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmart.operators import maintenance as m
 from leafmart.registry import oracle as o
@@ -139,3 +140,60 @@ register("union_of_snapshots", lambda s, d: reduce(DataFrame.unionByName, [
     m.save_counts(view(s, d, "user_saved_deals")).select(F.lit("saves").alias("kind"), F.col("deal_id").alias("key"), F.col("save_count").alias("n")),
     view(s, d, "deal_reports").groupBy("deal_id").agg(F.count("*").alias("n")).select(F.lit("reports").alias("kind"), F.col("deal_id").alias("key"), "n")]), """
 SELECT 'saves' AS kind, deal_id AS key, COUNT(DISTINCT user_id) AS n FROM v_user_saved_deals GROUP BY deal_id UNION ALL SELECT 'reports', deal_id, COUNT(*) FROM v_deal_reports GROUP BY deal_id""")
+
+
+# --- sources and sinks, written and read back ----------------------------------------------------------------
+
+def _folder(s, name):
+    from leafmart.streaming.jobs import work_folder
+
+    return work_folder(s, name)
+
+
+def _table_roundtrip(s, d):
+    """Products as CSV and as Parquet through the typed reader; both copies must agree with the view."""
+    from leafmart.sources.tables import SCHEMAS, read_table
+
+    own = view(s, d, "products")
+    typed = [f for f in T._parse_datatype_string(SCHEMAS["products"]).fields]
+    rows = own.select(*[(F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in typed])
+    out = []
+    for kind in ("csv", "parquet"):
+        path = _folder(s, f"products-{kind}")
+        writer = rows.write.option("header", True)
+        writer.csv(path) if kind == "csv" else writer.parquet(path)
+        out.append(read_table(s, "products", path, kind).select(F.lit(kind).alias("kind"), "id", "brand", "category", F.round(F.col("sale_price").cast("double"), 2).alias("sale_price")))
+    return out[0].unionByName(out[1])
+
+
+register("read_table_roundtrip", _table_roundtrip, """
+SELECT kind, id, brand, category, CAST(sale_price AS DOUBLE) AS sale_price FROM v_products, (VALUES ('csv'), ('parquet')) k(kind)""")
+
+
+def _raw_roundtrip(s, d):
+    """Cards as JSON lines, a broken line after every store's first card, read by both readers."""
+    from leafmart.sources.tables import parse_raw_listings, read_raw_listings
+
+    cards = view(s, d, "raw_listings").select("name", "raw_text", "product_url", "dispensary_id")
+    lines = cards.select(F.to_json(F.struct("*")).alias("value"), F.length("name") % 7 == 0)
+    lines = lines.select(F.explode(F.when(lines[1], F.array("value", F.concat(F.lit("{broken "), F.substring("value", 2, 20)))).otherwise(F.array("value"))).alias("value"))
+    path = _folder(s, "cards")
+    lines.write.text(path)
+    count = lambda df, how: df.groupBy(F.lit(how).alias("reader"), F.coalesce("dispensary_id", F.lit("")).alias("store"), F.col("_corrupt_record").isNotNull().alias("broken")).agg(F.count("*").alias("n"))
+    return count(read_raw_listings(s, path), "file").unionByName(count(parse_raw_listings(s.read.text(path)), "rows"))
+
+
+register("raw_listings_roundtrip", _raw_roundtrip, """
+SELECT reader, store, broken, n FROM (
+  SELECT dispensary_id AS store, FALSE AS broken, COUNT(*) AS n FROM v_raw_listings GROUP BY 1
+  UNION ALL SELECT '', TRUE, COUNT(*) FROM v_raw_listings WHERE length(name) % 7 = 0 HAVING COUNT(*) > 0) x, (VALUES ('file'), ('rows')) r(reader)""")
+
+
+def _materialized(s, d):
+    from leafmart.plans.daily import refresh_save_counts
+
+    refresh_save_counts(view(s, d, "user_saved_deals"), _folder(s, "save-counts"))
+    return s.table("deal_save_counts")
+
+
+register("materialized_save_counts", _materialized, "SELECT deal_id, COUNT(DISTINCT user_id) AS save_count FROM v_user_saved_deals GROUP BY deal_id")

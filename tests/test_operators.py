@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmart.functions import pricing
@@ -110,3 +111,24 @@ def test_raw_listings_keep_broken_lines(spark, tmp_path):
     (tmp_path / "cards.json").write_text('{"name": "Blue Maui", "price": "$20"}\n{broken\n')
     got = sorted((r.name or "", r["_corrupt_record"] or "") for r in read_raw_listings(spark, str(tmp_path / "cards.json")).collect())
     assert got == [("", "{broken"), ("Blue Maui", "")]
+
+
+def test_six_part_brand_slug(spark):
+    from leafmart.operators import brands
+
+    terms = brands.dictionary(spark.createDataFrame([("One Two Three Four Five Six",), ("One Two",)], "brand string"))
+    cards = spark.createDataFrame([(1, "https://x.org/s/product/one-two-three-four-five-six-gummies"), (2, "https://x.org/s/product/one-two-gummies")], "id long, product_url string")
+    got = {r["id"]: r["brand"] for r in brands.brands_from_url(cards, terms, "id").collect()}
+    assert got == {1: "One Two Three Four Five Six", 2: "One Two"}
+
+
+@pytest.mark.parametrize("many", [300, 400, 4000])
+def test_small_store_keeps_its_minimum_beside_a_big_one(spark, many):
+    from leafmart.operators import curation
+
+    def rows(store, n):
+        return [(f"{store}-{i:05d}", store, f"{store} item {i}", "brand a" if store == "big" else "brand b", "flower", None, 3.5, 90 - (store == "small") * 40, 10.0 + i / 100, 30.0 + i, 60.0, "r") for i in range(n)]
+
+    schema = "id string, dispensary_id string, name string, brand string, category string, product_subtype string, weight_value double, deal_score int, sale_price double, original_price double, discount_percent double, region string"
+    got = curation.select_top_deals(spark.createDataFrame(rows("big", many) + rows("small", 3), schema), ["region"]).groupBy("dispensary_id").count().collect()
+    assert {r["dispensary_id"] for r in got} == {"big", "small"}

@@ -172,29 +172,30 @@ def weights(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
 
 FEATURES = "struct<n: long, node: long, check: long, own: long, above: long, parts: binary, steps: array<long>>"
 #: Parts of the universe whose element counts are kept with a node.
-PARTS = 64
+PARTS = 256
 
 
 def part_counts(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Elements of each set in each part of the universe, up to 65,535."""
-    part = (mix(h + np.uint64(5)) >> np.uint64(58)).astype(np.int64)
-    return np.minimum(np.bincount(of * PARTS + part, minlength=n * PARTS), 0xFFFF).astype("<u2").reshape(n, PARTS)
+    """Elements of each set in each part of the universe, up to 15."""
+    part = (mix(h + np.uint64(5)) >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(of * PARTS + part, minlength=n * PARTS), 15).astype(np.uint8).reshape(n, PARTS)
 
 
 def unary(counts: np.ndarray) -> np.ndarray:
-    """Counts up to eight as so many bits, eight parts in a number: different bits are a lower bound of different elements."""
-    return ((1 << np.minimum(counts, 8).astype(np.int64)) - 1).astype(np.uint8).reshape(-1).view(np.int64)
+    """Counts up to two as so many bits, 32 parts in a number: different bits are a lower bound of different elements."""
+    bits = ((1 << np.minimum(counts, 2)) - 1).astype(np.uint8)
+    return (bits[:, 0::4] | bits[:, 1::4] << 2 | bits[:, 2::4] << 4 | bits[:, 3::4] << 6).reshape(-1).view(np.int64)
 
 
 def steps_apart(one: str, two: str) -> F.Column:
-    return sum((F.bit_count(F.get(one, F.lit(i)).bitwiseXOR(F.get(two, F.lit(i)))) for i in range(PARTS // 8)), F.lit(0))
+    return sum((F.bit_count(F.get(one, F.lit(i)).bitwiseXOR(F.get(two, F.lit(i)))) for i in range(PARTS // 32)), F.lit(0))
 
 
 def may_be_linked(n_u: pa.Array, n_v: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
     """False where the counts of the parts alone differ by more than two linked sets do."""
-    a, b = (np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, PARTS).astype(np.int64) for x in (one, two))
+    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, PARTS // 2) for x in (one, two))
     total = n_u.to_numpy(zero_copy_only=False) + n_v.to_numpy(zero_copy_only=False)
-    apart = np.abs(a - b).sum(axis=1)
+    apart = sum(np.abs((a >> k & 15).astype(np.int64) - (b >> k & 15)).sum(axis=1) for k in (0, 4))
     return pa.array((100 + PERCENT) * apart <= (100 - PERCENT) * total)
 
 
@@ -209,10 +210,11 @@ def features(column: pa.Array, seed: int) -> pa.Array:
         two = [mix(sums(mix(h + np.uint64(s)), of, n) + size.astype(np.uint64)).view(np.int64) for s in (1, 2)]
         for values, x in zip(out, (size, *two, *weights(h, of, n)), strict=True):
             values.append(x)
-        counts += [row.tobytes() for row in part_counts(h, of, n)]
-        steps.append(unary(part_counts(h, of, n)))
+        held = part_counts(h, of, n)
+        counts += [row.tobytes() for row in held[:, 0::2] | held[:, 1::2] << 4]
+        steps.append(unary(held))
     flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out]
-    rows = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * (PARTS // 8))
+    rows = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * (PARTS // 32))
     bits = pa.ListArray.from_arrays(rows, pa.array(np.concatenate(steps) if steps else np.zeros(0, np.int64)))
     return pa.StructArray.from_arrays([*flat, pa.array(counts, pa.binary()), bits], ["n", "node", "check", "own", "above", "parts", "steps"])
 
@@ -256,6 +258,10 @@ def alike(one: pa.Array, two: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.where("other <> node").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+
+
 class Join:
     """The steps of one join over `docs` (doc_id long, text)."""
 
@@ -285,16 +291,18 @@ class Join:
         shared = keys.withColumn("df", F.count("*").over(same)).withColumn("several", F.min("node").over(same) != F.max("node").over(same))
         return staged(shared.where("several").drop("several"))
 
-    def first_pairs(self, index: DataFrame) -> DataFrame:
-        """A few pairs for each set, those most likely linked: under each key the set that shares most (an original among its
-        edited copies), and the neighbour in one of ORDERS random orders."""
+    def lead_pairs(self, index: DataFrame) -> DataFrame:
+        """Each set with those that share most under its keys: an original among its edited copies."""
         central = index.groupBy("node").agg(F.sum("df").alias("central"))
-        same = Window.partitionBy("key")
-        known = index.join(central, "node")
-        lead = F.max(F.struct("central", "node")).over(same)["node"]
-        before = F.lag("node").over(same.orderBy(F.xxhash64("node", F.pmod("key", F.lit(ORDERS))), "node"))
-        each = known.select("node", lead.alias("lead"), before.alias("before")).select("node", F.explode(F.array("lead", "before")).alias("other"))
-        return each.where("other is not null and other <> node").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+        lead = F.max(F.struct("central", "node")).over(Window.partitionBy("key"))["node"]
+        return distinct_pairs(index.join(central, "node").select("node", lead.alias("other")))
+
+    def neighbour_pairs(self, index: DataFrame, comps: DataFrame) -> DataFrame:
+        """Each set with its neighbours of another component under its keys, in one of ORDERS random orders."""
+        known = index.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.pmod("key", F.lit(ORDERS))), "node")
+        near = known.select("node", "comp", F.lag("node").over(order).alias("other"), F.lag("comp").over(order).alias("other_comp"))
+        return distinct_pairs(near.where("comp <> other_comp"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v) among pairs (u, v) of nodes: sizes first, then counts by part, then the shingles of both texts."""
@@ -392,7 +400,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         raise ValueError("different sets share node numbers under four seeds")
     index = join.index()
-    links = join.verified(join.first_pairs(index))
+    links = join.verified(join.lead_pairs(index))
+    links = links.unionByName(join.verified(join.neighbour_pairs(index, components(links))))
     comps = components(links)
     more = join.verified(join.open_pairs(index, comps))
     links = links.unionByName(more)

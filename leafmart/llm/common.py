@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmart.session import ensure_checkpoint_dir
 
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 #: Bytes of text that one numpy step works on; a longer document is a shard of its own.
 SHARD_BYTES = 2 << 20
 

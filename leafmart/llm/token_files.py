@@ -24,12 +24,15 @@ _coders: dict[int, WordCoder] = {}
 
 
 #: Letters with signs behind them, which are pieces of their own. No apostrophe: it may begin a piece with letters.
+SIGNS = b"!#$%&*,.:;?"
 SIGNS_BEHIND = re.compile(rb"([A-Za-z\x80-\xff]+)([!#$%&*,.:;?]+)")
 
 
 def lower_letters(word: str) -> str | None:
     """The composed word in lower case where it is letters alone before and after; None else. A last sigma is lower-cased by
     its place, so it is left to the tokenizer."""
+    if word.isascii():
+        return word.lower() if word.isalpha() else None
     low = unicodedata.normalize("NFC", word).lower()
     return low if word.isalpha() and low.isalpha() and "\u03a3" not in word else None
 
@@ -58,7 +61,7 @@ class WordCoder:
         young = self.young
         fresh, ended = [], []
         for w in self.recall(set(chain.from_iterable(split))):
-            m = self.letters and SIGNS_BEHIND.fullmatch(w)
+            m = self.letters and w[-1] in SIGNS and SIGNS_BEHIND.fullmatch(w)
             ended.append((w, *m.groups())) if m and lower_letters(m[1].decode("utf-8", "replace")) else fresh.append(w)
         fresh += self.recall({part for _, *parts in ended for part in parts}.difference(fresh))
         for a in range(0, len(fresh), 1000):

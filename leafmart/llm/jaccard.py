@@ -176,9 +176,9 @@ PARTS = 256
 
 
 def part_counts(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Elements of each set in each part of the universe, up to 15."""
+    """Elements of each set in each part of the universe, up to 255."""
     part = (mix(h + np.uint64(5)) >> np.uint64(56)).astype(np.int64)
-    return np.minimum(np.bincount(of * PARTS + part, minlength=n * PARTS), 15).astype(np.uint8).reshape(n, PARTS)
+    return np.minimum(np.bincount(of * PARTS + part, minlength=n * PARTS), 255).astype(np.uint8).reshape(n, PARTS)
 
 
 def unary(counts: np.ndarray) -> np.ndarray:
@@ -193,9 +193,9 @@ def steps_apart(one: str, two: str) -> F.Column:
 
 def may_be_linked(n_u: pa.Array, n_v: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
     """False where the counts of the parts alone differ by more than two linked sets do."""
-    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, PARTS // 2) for x in (one, two))
+    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for x in (one, two))
     total = n_u.to_numpy(zero_copy_only=False) + n_v.to_numpy(zero_copy_only=False)
-    apart = sum(np.abs((a >> k & 15).astype(np.int64) - (b >> k & 15)).sum(axis=1) for k in (0, 4))
+    apart = np.abs(a - b).sum(axis=1, dtype=np.int64)
     return pa.array((100 + PERCENT) * apart <= (100 - PERCENT) * total)
 
 
@@ -211,7 +211,7 @@ def features(column: pa.Array, seed: int) -> pa.Array:
         for values, x in zip(out, (size, *two, *weights(h, of, n)), strict=True):
             values.append(x)
         held = part_counts(h, of, n)
-        counts += [row.tobytes() for row in held[:, 0::2] | held[:, 1::2] << 4]
+        counts += [row.tobytes() for row in held]
         steps.append(unary(held))
     flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out]
     rows = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * (PARTS // 32))

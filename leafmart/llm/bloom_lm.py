@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +12,15 @@ from pyspark.sql import functions as F
 
 from leafmart.llm.common import LOWER, NONSPACE, SpanHash, bounded_batches, mix, shards, staged, unused, words
 
-#: Documents of the sample that names the frequent words, and how many of them. A word on this list is counted inside tasks
-#: and broadcast with its count; all others meet their counts by a shuffle. The list changes the way, never a result.
-SAMPLE_DOCS, FREQUENT = 4_000, 1 << 16
+#: Documents of the sample of training rows that names frequent words and pairs of them, and how many of each. What is on a
+#: list is counted inside tasks and broadcast with its count; all others meet their counts by a shuffle. A list is a shortcut
+#: for counting only: words and pairs have the same counts without it, but for false hits of the filter.
+SAMPLE_DOCS, FREQUENT, FREQUENT_PAIRS = 4_000, 1 << 16, 1 << 18
 #: A block of the filter in bits, the levels it holds, and the most blocks (32 MB in all).
 BLOCK_BITS, BLOCK_LEVELS, MAX_BLOCKS = 1 << 16, (1 << 16) // 12, 4096
 PROBES = 3
 #: Pseudo-count of the unigram distribution behind each history.
 SMOOTHING = 200.0
-#: n-gram rows that a task sums up before it sends them on.
-FLUSH = 4_000_000
 END = np.uint64(0x1F83D9ABFB41BD6B)
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,6 +56,11 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
 
 
+def value(levels: np.ndarray) -> np.ndarray:
+    """The count that a level stands for, 0 without any."""
+    return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, 1.5 * np.exp2(levels - 1.0)))
+
+
 def pairs(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each token with the one before it, and whether both are of one document."""
     before = np.concatenate((hashes[:1], hashes[:-1]))
@@ -105,51 +109,69 @@ class Filter:
             live = live[there]
             found[live] = j
             j += 1
-        middle = 1.5 * np.exp2(found - 1.0)
-        return np.where(found == 0, 0.0, np.where(found == 1, 1.0, middle))
+        return value(found)
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Hashes, ascending, of the words that are most frequent in a sample of SAMPLE_DOCS documents; the end is one."""
+def frequent_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of words and of pairs of these words that are most frequent in a sample of SAMPLE_DOCS rows; the end
+    is a word."""
     total = docs.count()
+    some = (docs if total <= SAMPLE_DOCS else docs.sample(SAMPLE_DOCS / total, seed=11)).select("text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for _, _, hashes, _ in tokens(batch.column(0)):
-                h, c = summed(np.concatenate((h, hashes)), np.concatenate((c, np.ones(len(hashes), np.int64))))
-        top = np.argsort(-c, kind="stable")[: 2 * FREQUENT]
-        yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(c[top])], ["h", "n"])
+    def top(grams: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> np.ndarray:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for batch in batches:
+                for _, _, hashes, doc in tokens(batch.column(0)):
+                    found = grams(hashes, doc)
+                    h, c = summed(np.concatenate((h, found)), np.concatenate((c, np.ones(len(found), np.int64))))
+            first = np.argsort(-c, kind="stable")[: 2 * most]
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(c[first])], ["h", "n"])
+
+        found = some.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most)
+        return found.toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64)
+
+    frequent = np.unique(np.concatenate((top(lambda hashes, doc: hashes, FREQUENT - 1), [END])))
 
-    some = docs if total <= SAMPLE_DOCS else docs.sample(SAMPLE_DOCS / total, seed=11)
-    found = some.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT - 1)
-    return np.unique(np.concatenate((found.toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64), [END])))
+    def inner(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        common = member(frequent, hashes)[1]
+        pair, inside = pairs(hashes, doc)
+        inside[1:] &= common[1:] & common[:-1]
+        return pair[inside]
+
+    return frequent, np.sort(top(inner, FREQUENT_PAIRS))
 
 
 class Model:
-    """Counts of all training tokens and the filter of their n-grams."""
+    """Counts of all training tokens, of listed words and of listed pairs; `seen` has the other words of each document."""
 
-    def __init__(self, seen: DataFrame, frequent: np.ndarray, counts: np.ndarray, total: int, distinct: int, bits: Filter):
-        self.seen, self.frequent, self.counts, self.total, self.distinct, self.bits = seen, frequent, counts, total, distinct, bits
+    def __init__(self, seen: DataFrame, words: tuple[np.ndarray, np.ndarray], listed: tuple[np.ndarray, np.ndarray], total: int, distinct: int):
+        self.seen, self.words, self.listed, self.total, self.distinct = seen, words, listed, total, distinct
 
 
 def train(docs: DataFrame, train_col: str) -> Model:
     """Counts over all rows of `docs` (doc_id, text, a boolean `train_col`); only rows where it is true are learned from.
 
-    A task sums up the counts of frequent words and pairs of frequent words. Other words go to the shuffle as (word, document,
-    times), where a window over the word finds its count; this table is kept in `seen` for the scores.
+    A task sums up the counts of listed words and pairs. Other words go to the shuffle as (word, document, times), where a
+    window over the word finds its count; this table is kept in `seen` for the scores.
     """
     spark = docs.sparkSession
-    frequent = frequent_words(docs)
-    known = spark.sparkContext.broadcast(frequent)
+    frequent, listed = frequent_grams(docs.where(F.col(train_col)))
+    lists = spark.sparkContext.broadcast((frequent, listed))
 
     def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "pair", "doc_id", "mark", "times"]
+        known = lists.value
         for batch in batches:
             ids, marks, learn = batch.column(0), batch.column(1), batch.column(3).to_numpy(zero_copy_only=False)
-            total = np.zeros(len(known.value), np.int64)
+            totals = [np.zeros(len(table), np.int64) for table in known]
             for first, _, hashes, doc in tokens(batch.column(2)):
-                slot, common = member(known.value, hashes)
-                total += np.bincount(slot[common & learn[first + doc]], minlength=len(total))
+                taught = learn[first + doc]
+                slot, common = member(known[0], hashes)
+                totals[0] += np.bincount(slot[common & taught], minlength=len(known[0]))
+                pair, inside = pairs(hashes, doc)
+                place, there = member(known[1], pair)
+                totals[1] += np.bincount(place[there & inside & taught], minlength=len(known[1]))
                 h, d = hashes[~common], doc[~common]
                 order = np.lexsort((h, d))
                 h, d = h[order], d[order]
@@ -157,125 +179,138 @@ def train(docs: DataFrame, train_col: str) -> Model:
                 times = np.diff(np.append(new, len(h)))
                 at = first + d[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[new].view(np.int64)), ids.take(pa.array(at)), marks.take(pa.array(at)), pa.array(np.where(learn[at], times, -times))], ["h", "doc_id", "mark", "times"]
+                    [pa.array(h[new].view(np.int64)), pa.array(np.zeros(len(new), bool)), ids.take(pa.array(at)), marks.take(pa.array(at)), pa.array(np.where(learn[at], times, -times))], names
                 )
-            used = np.flatnonzero(total)
-            none = pa.nulls(len(used))
-            yield pa.RecordBatch.from_arrays([pa.array(known.value[used].view(np.int64)), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(total[used])], ["h", "doc_id", "mark", "times"])
-
-    rows = docs.select("doc_id", "mark", "text", F.col(train_col).alias("learn")).mapInArrow(word_rows, "h long, doc_id long, mark int, times long")
-    same = Window.partitionBy("h")
-    first = F.row_number().over(same.orderBy("doc_id")) == 1
-    counted = rows.withColumn("c", F.sum(F.greatest("times", F.lit(0))).over(same)).withColumn("h", F.when(first, F.col("h")))
-    seen = staged(counted.where(F.col("mark").isNotNull() | F.col("h").isNotNull()))
-    learned = seen.where(F.col("h").isNotNull() & (F.col("c") > 0))
+            for is_pair, (table, total) in enumerate(zip(known, totals, strict=True)):
+                used = np.flatnonzero(total)
+                none = pa.nulls(len(used))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(table[used].view(np.int64)), pa.array(np.full(len(used), bool(is_pair))), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(total[used])], names
+                )
+
+    rows = docs.select("doc_id", "mark", "text", F.col(train_col).alias("learn")).mapInArrow(word_rows, "h long, pair boolean, doc_id long, mark int, times long")
+    same = Window.partitionBy("h", "pair")
+    lead = F.row_number().over(same.orderBy("doc_id")) == 1
+    counted = rows.withColumn("c", F.sum(F.greatest("times", F.lit(0))).over(same)).withColumn("lead", lead)
+    seen = staged(counted.where((F.col("mark").isNotNull() | F.col("lead")) & (F.col("c") > 0)))
+    learned = seen.where(F.col("lead") & ~F.col("pair"))
     total, distinct = learned.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    blocks = 1 << min(MAX_BLOCKS.bit_length() - 1, max(0, math.ceil(math.log2(max(1, total / 4 / BLOCK_LEVELS)))))
 
-    def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def counts(table: np.ndarray, rows: DataFrame) -> np.ndarray:
+        out = np.zeros(len(table), np.int64)
+        got = rows.select("h", "c").toArrow()
+        out[np.searchsorted(table, got["h"].to_numpy().view(np.uint64))] = got["c"].to_numpy()
+        return out
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(block_of(h, blocks).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c)], ["block", "h", "c"])
+    # the lists bound what is fetched: only listed words and pairs have rows without a document
+    both = seen.where(F.col("lead") & F.col("mark").isNull())
+    return Model(seen, (frequent, counts(frequent, both.where(~F.col("pair")))), (listed, counts(listed, both.where(F.col("pair")))), int(total), int(distinct))
 
-        for batch in batches:
-            for _, _, hashes, doc in tokens(batch.column(0)):
-                common = member(known.value, hashes)[1]
-                pair, inside = pairs(hashes, doc)
-                inside[1:] &= common[1:] & common[:-1]
-                h, c = summed(np.concatenate((h, pair[inside])), np.concatenate((c, np.ones(int(inside.sum()), np.int64))))
-                if len(h) >= FLUSH:
-                    yield rows()
-                    h, c = h[:0], c[:0]
-        yield rows()
-
-    def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(block_of(h, blocks).astype(np.int32)), batch.column(0), batch.column(1)], ["block", "h", "c"])
 
-    def filter_block(key: tuple, rows: pa.Table) -> pa.Table:
-        h, c = summed(rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([build_block(h, c).tobytes()], pa.binary())})
+def chances(pair: np.ndarray, history: np.ndarray, alone: np.ndarray, every: float) -> np.ndarray:
+    """Logarithms of the probabilities of tokens, by the levels of the pair, of the word before (0: none) and of the word."""
+    chance = (value(alone) + 0.5) / every
+    before = value(history)
+    return np.log10(np.minimum((np.minimum(pair, before) + SMOOTHING * chance) / (before + SMOOTHING), 1.0))
 
-    shape = "block int, h long, c long"
-    grams = docs.where(F.col(train_col)).select("text").mapInArrow(pair_rows, shape).unionByName(learned.select("h", "c").mapInArrow(single_rows, shape))
-    made = grams.groupBy("block").applyInArrow(filter_block, "block int, bits binary").toArrow()
-    bits = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
-    for b, raw in zip(made["block"].to_pylist(), made["bits"].to_pylist(), strict=True):
-        bits[b * BLOCK_BITS // 8 : (b + 1) * BLOCK_BITS // 8] = np.frombuffer(raw, np.uint8)
 
-    counts = np.zeros(len(frequent), np.int64)
-    # the list bounds what is fetched
-    listed = spark.createDataFrame(pa.table({"h": frequent.view(np.int64)}))
-    got = learned.join(F.broadcast(listed), "h").select("h", "c").toArrow()
-    counts[np.searchsorted(frequent, got["h"].to_numpy().view(np.uint64))] = got["c"].to_numpy()
-    return Model(seen, frequent, counts, int(total), int(distinct), Filter(bits, blocks))
+GRAMS = "block int, h long, doc_id long, mark int, times int, near double, known int, logs double"
+NAMES = [field.split()[0] for field in GRAMS.split(", ")]
 
 
-PART = "struct<n_tokens: long, known: long, logs: double, score: double>"
+def blocks_for(total: int) -> int:
+    """A power of two that grows with the training tokens."""
+    return 1 << min(MAX_BLOCKS.bit_length() - 1, max(0, math.ceil(math.log2(max(1, total / 4 / BLOCK_LEVELS)))))
 
 
 def score_texts(docs: DataFrame, train_col: str) -> DataFrame:
     """`docs` (doc_id long, text, a boolean `train_col`) with a column `lm` of (n_tokens, n_known, train_tokens, base_score, score).
 
     base_score is the exact unigram score with half a count added to each of the distinct training tokens and one unknown;
-    score is the base-10 logarithm of the probability by the filter: the count of a pair of frequent words, smoothed by the
-    word's own count; both come from repeated probes. Null and empty texts are one end; rows that agree in doc_id and text
-    are scored alike; without training rows all tokens are unknown; an empty table stays empty; `lm` is replaced.
+    score is the base-10 logarithm of the probability by the levels of counts: the count of each pair of neighbours by repeated
+    probes of the filter, smoothed by the word's own count. Null and empty texts are one end; rows that agree in doc_id and
+    text are scored alike; without training rows all tokens are unknown; an empty table stays empty; `lm` is replaced.
 
-    Tokens are told apart by 64-bit hashes. The filter has at most MAX_BLOCKS blocks, each with the most frequent n-grams that
-    fall into it; its size grows with the training tokens up to that.
+    Tokens are told apart by 64-bit hashes. Documents meet the counts of their words first; then all pairs that are not on the
+    list go to the blocks of the filter, those of training rows to fill them and all to probe. No pair is left out: a pair
+    with a word that training rows lack has no count.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.drop("lm")
-    mark, part, same_doc, same_text, more_known, more_logs = unused(docs, "_mark", "_lm", "_doc", "_hash", "_known", "_logs")
+    mark, same_doc, same_text, part = unused(docs, "_mark", "_doc", "_hash", "_lm")
     marked = docs.withColumn(mark, F.hash("text"))
-    model = train(marked.select("doc_id", F.col(mark).alias("mark"), "text", F.coalesce(F.col(train_col), F.lit(False)).alias("learn")), "learn")
-    shared = spark.sparkContext.broadcast((model.frequent, model.counts, model.total, model.distinct, model.bits))
-
-    def parts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        frequent, counts, total, distinct, bits = shared.value
-        logs = np.log10(counts + 0.5)
-        every = total + 0.5 * (distinct + 1)
-        for column in columns:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for first, last, hashes, doc in tokens(column):
+    plain = marked.select("doc_id", F.col(mark).alias("mark"), "text", F.coalesce(F.col(train_col), F.lit(False)).alias("learn"))
+    model = train(plain, "learn")
+    every = model.total + 0.5 * (model.distinct + 1)
+    blocks = blocks_for(model.total)
+    shared = spark.sparkContext.broadcast((model.words, model.listed))
+
+    def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a document with its sums so far (times is 0, h its tokens), and one a pair of it whose count is to be found."""
+        (frequent, counts), (listed, pair_counts) = shared.value
+        pair_values = value(level(pair_counts))
+        for batch in batches:
+            ids, marks, learn, rare = batch.column(0), batch.column(1), batch.column(3).to_numpy(zero_copy_only=False), batch.column(4)
+            for first, last, hashes, doc in tokens(batch.column(2)):
                 n = last - first
                 slot, common = member(frequent, hashes)
-                known = common & (counts[slot] > 0) if len(counts) else common
-                single, back = np.unique(hashes, return_inverse=True)
-                alone = (bits.counts(single)[back] + 0.5) / every
+                count = np.where(common, counts[slot], 0)
+                fields = rare.slice(first, n).flatten().flatten()
+                h, at = np.unique(fields[0].to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
+                slot, there = member(h, hashes[~common])
+                if len(h):
+                    count[~common] = np.where(there, fields[1].to_numpy(zero_copy_only=False)[at][slot], 0)
+                alone = level(count)
                 pair, inside = pairs(hashes, doc)
-                inside[1:] &= common[1:] & common[:-1]
-                double, again = np.unique(pair[inside], return_inverse=True)
-                before = np.flatnonzero(inside) - 1
-                history = alone[before] * every - 0.5
-                chance = alone.copy()
-                chance[inside] = (np.minimum(bits.counts(double)[again], history) + SMOOTHING * alone[inside]) / (history + SMOOTHING)
-                out[0].append(np.bincount(doc, minlength=n))
-                out[1].append(np.bincount(doc, known, minlength=n).astype(np.int64))
-                out[2].append(np.bincount(doc, np.where(common, logs[slot] if len(logs) else 0.0, math.log10(0.5)), minlength=n))
-                out[3].append(np.bincount(doc, np.log10(np.minimum(chance, 1.0)), minlength=n))
-            flat = [np.concatenate(x) if x else np.zeros(0) for x in out]
-            yield pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)), pa.array(flat[2]), pa.array(flat[3])], ["n_tokens", "known", "logs", "score"])
-
-    # unknown words count log(0.5) above; what is added here are the words that did occur
-    rare = model.seen.where(F.col("mark").isNotNull() & (F.col("c") > 0))
-    times = F.abs("times")
-    rest = rare.groupBy("doc_id", "mark").agg(F.sum(times).alias("_known"), F.sum(times * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("_logs"))
-    rows = marked.groupBy("doc_id", F.col(mark).alias("mark")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > 1)
-    rest = rest.join(rows.withColumnsRenamed({"doc_id": "_d", "mark": "_m"}), F.expr("doc_id <=> _d and mark = _m"), "left")
-    each = F.coalesce(F.col("_rows"), F.lit(1))
-    rest = rest.select(
-        F.col("doc_id").alias(same_doc), F.col("mark").alias(same_text), (F.col("_known") / each).cast("long").alias(more_known), (F.col("_logs") / each).alias(more_logs)
-    )
-    scored = marked.withColumn(part, F.arrow_udf(parts, PART)("text")).join(rest, F.col("doc_id").eqNullSafe(F.col(same_doc)) & (F.col(mark) == F.col(same_text)), "left")
-    n_tokens = F.col(f"{part}.n_tokens")
-    base = F.col(f"{part}.logs") + F.coalesce(more_logs, F.lit(0.0)) - n_tokens * F.lit(math.log10(model.total + 0.5 * (model.distinct + 1)))
-    out = F.struct(
-        n_tokens.alias("n_tokens"), (F.col(f"{part}.known") + F.coalesce(more_known, F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        base.alias("base_score"), F.col(f"{part}.score").alias("score"),
+                history = np.where(inside, np.concatenate((alone[:1], alone[:-1])), 0)
+                slot, there = member(listed, pair)
+                found = np.where(there & inside, pair_values[slot], 0.0) if len(listed) else np.zeros(len(pair))
+                asked = inside & ~there & (history > 0) & (alone > 0)
+                score = np.where(asked, 0.0, chances(found, history, alone, every))
+                row = pa.array(np.arange(first, last))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(block_of(np.arange(n, dtype=np.uint64) + hashes[:1], blocks).astype(np.int32)), pa.array(np.bincount(doc, minlength=n).astype(np.int64)), ids.take(row), marks.take(row),
+                        pa.array(np.zeros(n, np.int32)), pa.array(np.bincount(doc, score, minlength=n)), pa.array(np.bincount(doc, count > 0, minlength=n).astype(np.int32)),
+                        pa.array(np.bincount(doc, np.log10(count + 0.5), minlength=n)),
+                    ], NAMES,
+                )
+                pair, d, near = pair[asked], doc[asked], history[asked] * 64 + alone[asked]
+                order = np.lexsort((pair, d))
+                pair, d, near = pair[order], d[order], near[order]
+                new = np.flatnonzero(np.concatenate((np.ones(min(1, len(d)), bool), (pair[1:] != pair[:-1]) | (d[1:] != d[:-1]))))
+                times = np.diff(np.append(new, len(d)))
+                pair, row = pair[new], first + d[new]
+                none = pa.nulls(len(new))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(block_of(pair, blocks).astype(np.int32)), pa.array(pair.view(np.int64)), ids.take(pa.array(row)), marks.take(pa.array(row)),
+                        pa.array(np.where(learn[row], times, -times).astype(np.int32)), pa.array(near[new].astype(np.float64)), none.cast(pa.int32()), none.cast(pa.float64()),
+                    ], NAMES,
+                )
+
+    def probe_block(rows: pa.Table) -> pa.Table:
+        """The filter of a block from the pairs of training rows, and the scores of all of its pairs."""
+        h, times, score = rows["h"].to_numpy().view(np.uint64), rows["times"].to_numpy().astype(np.int64), rows["near"].to_numpy().copy()
+        asked = times != 0
+        bits = Filter(build_block(*summed(h[times > 0], times[times > 0])), 1)
+        single, back = np.unique(h[asked], return_inverse=True)
+        near = score[asked].astype(np.int64)
+        score[asked] = np.abs(times[asked]) * chances(bits.counts(single)[back], near >> 6, near & 63, every)
+        doc = pa.array(np.ones(len(h), np.int32), mask=asked)
+        n = pa.array(h.view(np.int64), mask=asked)
+        return pa.table({"doc_id": rows["doc_id"], "mark": rows["mark"], "row": doc, "n": n, "known": rows["known"], "logs": rows["logs"], "score": pa.array(score)})
+
+    rare = model.seen.where(F.col("mark").isNotNull()).groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.collect_set(F.struct("h", "c")).alias("words"))
+    met = plain.join(rare, F.expr("doc_id <=> _d and mark = _m"), "left").select("doc_id", "mark", "text", "learn", "words")
+    grams = met.mapInArrow(gram_rows, GRAMS)
+    probed = grams.groupBy("block").applyInArrow(probe_block, "doc_id long, mark int, row int, n long, known int, logs double, score double")
+    sums = probed.groupBy(F.col("doc_id").alias(same_doc), F.col("mark").alias(same_text)).agg(
+        F.struct(
+            F.max("n").alias("n_tokens"), F.max("known").cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+            (F.max("logs") - F.max("n") * F.lit(math.log10(every))).alias("base_score"), (F.sum("score") / F.count("row")).alias("score"),
+        ).alias(part)
     )
-    return scored.withColumn("lm", out).drop(mark, part, same_doc, same_text, more_known, more_logs)
+    scored = marked.join(sums, F.col("doc_id").eqNullSafe(F.col(same_doc)) & (F.col(mark) == F.col(same_text)), "left")
+    return scored.withColumn("lm", F.col(part)).drop(mark, part, same_doc, same_text)

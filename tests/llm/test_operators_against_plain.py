@@ -268,6 +268,33 @@ def test_base_scores_are_exact(spark, monkeypatch, frequent):
             assert lm["score"] <= 0
 
 
+@pytest.mark.parametrize("frequent", [bloom_lm.FREQUENT, 8])
+def test_scores_count_every_pair(spark, monkeypatch, frequent):
+    monkeypatch.setattr(bloom_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(bloom_lm, "SAMPLE_DOCS", 5)
+    docs, rows = corpus.documents(spark, 6, 40)
+    learn = F.col("doc_id").isNotNull() & (F.col("doc_id") % 3 != 0)
+    got = by_id(bloom_lm.score_texts(docs.withColumn("learn", learn), "learn"))
+    tokens = [(r[0], BLANK.findall(lower(r[1])) + [None]) for r in rows]
+    taught = [some for doc, some in tokens if doc is not None and doc % 3]
+    count, pairs = Counter(t for some in taught for t in some), Counter(p for some in taught for p in zip(some, some[1:]))
+    every = sum(count.values()) + 0.5 * (len(count) + 1)
+
+    def middle(n):
+        return n if n < 2 else 1.5 * 2 ** math.floor(math.log2(n))
+
+    for doc, some in tokens:
+        if doc is None:
+            continue
+        alone = [(middle(count[t]) + 0.5) / every for t in some]
+        score = math.log10(min(1, alone[0]))
+        for (a, b), one in zip(zip(some, some[1:]), alone[1:]):
+            before = middle(count[a])
+            score += math.log10(min(1, (min(middle(pairs[a, b]), before) + bloom_lm.SMOOTHING * one) / (before + bloom_lm.SMOOTHING)))
+        for r in got[doc]:
+            assert r["lm"]["score"] == pytest.approx(score)
+
+
 def test_filter_keeps_levels_of_counts():
     rng = np.random.default_rng(8)
     hashes, counts = rng.integers(0, 2**63, 300, dtype=np.uint64), rng.integers(1, 500, 300)

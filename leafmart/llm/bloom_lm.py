@@ -16,8 +16,9 @@ from leafmart.llm.common import LOWER, NONSPACE, SpanHash, bounded_batches, mix,
 #: list is counted inside tasks and broadcast with its count; all others meet their counts by a shuffle. A list is a shortcut
 #: for counting only: words and pairs have the same counts without it, but for false hits of the filter.
 SAMPLE_DOCS, FREQUENT, FREQUENT_PAIRS = 4_000, 1 << 16, 1 << 18
-#: A block of the filter in bits, the levels it holds, and the most blocks (32 MB in all).
-BLOCK_BITS, BLOCK_LEVELS, MAX_BLOCKS = 1 << 16, (1 << 16) // 12, 4096
+#: The least block of the filter in bits, and the levels it holds. The number of blocks follows the training tokens, and a block
+#: with more levels has more bits, so nothing is dropped; a task holds one block at a time.
+BLOCK_BITS, BLOCK_LEVELS = 1 << 16, (1 << 16) // 12
 PROBES = 3
 #: Pseudo-count of the unigram distribution behind each history.
 SMOOTHING = 200.0
@@ -68,25 +69,25 @@ def pairs(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(before * PAIR + hashes + np.uint64(1)), same
 
 
-def positions(hashes: np.ndarray, j: int | np.ndarray) -> list[np.ndarray]:
-    """Bits inside the block that stand for level j."""
+def positions(hashes: np.ndarray, j: int | np.ndarray, size: int) -> list[np.ndarray]:
+    """Bits inside a block of `size` bits that stand for level j; up to 2**21 bits are told apart."""
     y = mix(hashes * np.uint64(0xD1342543DE82EF95) + np.asarray(j).astype(np.uint64))
-    return [(y >> np.uint64(16 * i) & np.uint64(BLOCK_BITS - 1)).astype(np.int64) for i in range(PROBES)]
+    return [(y >> np.uint64(21 * i) & np.uint64(size - 1)).astype(np.int64) for i in range(PROBES)]
 
 
 def block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(hashes) >> np.uint64(40) & np.uint64(blocks - 1)).astype(np.int64)
+    return (mix(hashes) >> np.uint64(33) & np.uint64(blocks - 1)).astype(np.int64)
 
 
 def build_block(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits of the most frequent n-grams of a block, as many as it holds."""
-    order = np.lexsort((hashes, -counts))
-    hashes, levels = hashes[order], level(counts[order])
-    keep = np.cumsum(levels) <= BLOCK_LEVELS
-    hashes, levels = hashes[keep], levels[keep]
-    bits = np.zeros(BLOCK_BITS, bool)
+    """Bits of all n-grams of a block: a power of two, BLOCK_BITS at least, with the share of bits a level that BLOCK_LEVELS asks."""
+    levels = level(counts)
+    size = BLOCK_BITS
+    while size * BLOCK_LEVELS < int(levels.sum()) * BLOCK_BITS:
+        size *= 2
+    bits = np.zeros(size, bool)
     for j in range(1, int(levels.max(initial=0)) + 1):
-        for p in positions(hashes[levels >= j], j):
+        for p in positions(hashes[levels >= j], j, size):
             bits[p] = True
     return np.packbits(bits, bitorder="little")
 
@@ -97,13 +98,14 @@ class Filter:
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """Counts as far as levels tell: probes go on from level 1 until one is missing."""
-        base = block_of(hashes, self.blocks) * BLOCK_BITS
+        size = len(self.data) * 8 // self.blocks
+        base = block_of(hashes, self.blocks) * size
         found = np.zeros(len(hashes), np.int64)
         live = np.arange(len(hashes))
         j = 1
         while len(live) and j < 63:
             there = np.ones(len(live), bool)
-            for p in positions(hashes[live], j):
+            for p in positions(hashes[live], j, size):
                 at = base[live] + p
                 there &= (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             live = live[there]
@@ -219,8 +221,8 @@ NAMES = [field.split()[0] for field in GRAMS.split(", ")]
 
 
 def blocks_for(total: int) -> int:
-    """A power of two that grows with the training tokens."""
-    return 1 << min(MAX_BLOCKS.bit_length() - 1, max(0, math.ceil(math.log2(max(1, total / 4 / BLOCK_LEVELS)))))
+    """A power of two that grows with the training tokens, without a ceiling."""
+    return 1 << max(0, math.ceil(math.log2(max(1, total / 4 / BLOCK_LEVELS))))
 
 
 def score_texts(docs: DataFrame, train_col: str) -> DataFrame:

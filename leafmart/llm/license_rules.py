@@ -1,6 +1,6 @@
 """Signature rules of licences, in order: keyword | priority | label | pattern.
 
-A pattern is tried where the lower-cased text holds the keyword. Priority 3 is a tag or a fixed sentence, 2 a licence with its
+A pattern is tried where the lower-cased text holds the keyword, or the folded text the folded keyword (see `licenses`). Priority 3 is a tag or a fixed sentence, 2 a licence with its
 version, 1 a family, 0 a general mention. S stands for what may part two words.
 """
 

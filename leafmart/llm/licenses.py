@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +16,23 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TOP = 3
+#: Another spelling, folded, that the rules of a keyword allow.
+SPELLINGS = {"beerware": "beer ware"}
 
 DETECTION = "struct<begin: int, back: int, low: int, rule: int, label: string>"
 
 
+def folded(text: F.Column) -> F.Column:
+    """Letters and digits in lower case, one blank for whatever parts them, one spelling of licence."""
+    return F.replace(F.lower(F.regexp_replace(text, "[^0-9A-Za-z]+", " ")), F.lit("licence"), F.lit("license"))
+
+
+def fold_keyword(keyword: str) -> list[str]:
+    """What folded texts are searched for."""
+    one = re.sub("[^0-9a-z]+", " ", keyword).strip().replace("licence", "license")
+    return [one, *([SPELLINGS[keyword]] if keyword in SPELLINGS else [])]
+
+
 def rule_groups(ordered: list[Rule]) -> tuple[list[str], F.Column]:
     """Keywords in the order of their first rule, and an array with the rules of each."""
     keywords = list(dict.fromkeys(r.keyword for r in ordered))
@@ -63,7 +79,7 @@ def uncontained(detections: F.Column) -> F.Column:
     return F.aggregate(F.array_sort(detections), empty, add, lambda acc: acc["kept"])
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", ordered: list[Rule] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_col: str = "text", ordered: list[Rule] | None = None, fold: bool = False) -> DataFrame:
     """`docs` with a column `licenses` of (n_words, base, detections, score).
 
     detections: (begin, end, priority, rule, label) in characters, after suppression. base: (word, label) of every place where
@@ -71,14 +87,17 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", ordered: list[Rule] |
     highest priority kept, from 0.25 to 1, base phrases count as priority 1; 0 without any. Null and empty texts have no words
     and score 0; repeated rows get equal answers; an empty table stays empty; a column named `licenses` is replaced.
 
-    The text is searched for each keyword once; rules run only where their keyword stands. No shuffle, all in the row.
+    The text is searched for each keyword once; rules run only where their keyword stands. With `fold` keywords are searched in
+    the folded text, so that signs and line ends inside a keyword do not hide it and every match of every rule is found;
+    without it a keyword has to stand letter by letter, and broken ones are missed. No shuffle, all in the row.
     """
     keywords, groups = rule_groups(ordered if ordered is not None else rules())
     docs = docs.drop("licenses")
-    text, lower, hits, word_list, places_of_base, kept = unused(docs, "_text", "_low", "_hits", "_words", "_base", "_kept")
-    read = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(lower, F.lower(text))
+    text, lower, flat, hits, word_list, places_of_base, kept = unused(docs, "_text", "_low", "_flat", "_hits", "_words", "_base", "_kept")
+    read = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(lower, F.lower(text)).withColumn(flat, folded(F.col(text)) if fold else F.lower(text))
     low = F.col(lower)
-    gated = read.withColumn(hits, F.array_compact(F.array(*[F.when(low.contains(k), F.lit(i)) for i, k in enumerate(keywords)])))
+    stands = [reduce(F.Column.__or__, [F.col(flat).contains(x) for x in (fold_keyword(k) if fold else [k])]) for k in keywords]
+    gated = read.withColumn(hits, F.array_compact(F.array(*[F.when(here, F.lit(i)) for i, here in enumerate(stands)])))
     phrase = low.contains("cc") & low.contains("by") | low.contains("general") & low.contains("license") | low.contains("rights") & low.contains("reserved")
     gated = gated.withColumn(word_list, F.when(phrase, F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))))
     words = F.col(word_list)
@@ -101,4 +120,4 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", ordered: list[Rule] |
     shown = F.transform(kept, lambda d: F.struct(d["begin"].alias("begin"), (-d["back"]).alias("end"), (-d["low"]).alias("priority"), d["rule"].alias("rule"), d["label"].alias("label")))
     top = F.greatest(F.coalesce(F.array_max(F.transform(kept, lambda d: -d["low"])), F.lit(-1)), F.when(F.size(places_of_base) > 0, F.lit(1)).otherwise(F.lit(-1)))
     out = F.struct(F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.col(places_of_base).alias("base"), shown.alias("detections"), ((top + 1) / F.lit(TOP + 1.0)).alias("score"))
-    return found.withColumn("licenses", out).drop(text, lower, hits, word_list, places_of_base, kept)
+    return found.withColumn("licenses", out).drop(text, lower, flat, hits, word_list, places_of_base, kept)

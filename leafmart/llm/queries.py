@@ -39,7 +39,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licenses.*")
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), fold=True).select("doc_id", "licenses.*")
     places = F.transform("base", lambda b: b["word"])
     base = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
     every = F.array_sort(F.array_union(base, F.transform("detections", lambda d: d["label"])))

@@ -217,6 +217,22 @@ def test_licences(spark):
     assert SEPARATOR and got[5000][0]["licenses"]["detections"][0]["label"] == "spdx-apache-2.0"
 
 
+def test_broken_keywords_reach_their_rules(spark):
+    texts = ["GNU General\nPublic License, version 3", "Permission is hereby\n# granted, free of charge", "in the public\n * domain", "see LICENCE.txt", "THE BEER-WARE LICENSE", "nothing here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(licenses.scan_licenses(docs, fold=True))
+    for i, text in enumerate(texts):
+        plain = {rule.label for rule in rules() if re.search(rule.pattern, text, re.ASCII)}
+        assert {d["label"] for d in got[i][0]["licenses"]["detections"]} <= plain
+        assert bool(got[i][0]["licenses"]["detections"]) == bool(plain) == (text != "nothing here")
+    assert "gpl-3.0" in {d["label"] for d in got[0][0]["licenses"]["detections"]}
+
+
+def test_license_query_finds_broken_keywords(spark, tmp_path):
+    spark.createDataFrame([(1, "GNU General\nPublic License, version 3")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert "gpl-3.0" in queries.op3_license_scan(spark, str(tmp_path)).first()["labels"].split(",")
+
+
 def test_mix_meets_every_budget(spark):
     docs, rows = corpus.documents(spark, 4, 40)
     got = mixing.mix_sources(docs).collect()

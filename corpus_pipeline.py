@@ -20,12 +20,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one whose id names the group. Of rows with equal ids, one stays;
-    texts without words have groups of their own and stay."""
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    (same,) = unused(docs, "_id")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(same)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(same)), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near duplicates: the one whose id names the group, of several texts under this id the one
+    with the least hash. Texts without words have groups of their own. Of rows that agree in id and text (told apart by a 64-bit
+    hash) the one with the least hash of all columns stays; different texts under one id, or without an id, all stay."""
+    groups = jaccard.grouped_rows(docs.select("doc_id", "text"))
+    mark, same_doc, same_text, row = unused(docs, "_mark", "_id", "_hash", "_row")
+    first = groups.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("key")).select("key.doc_id", "key.mark")
+    kept = first.unionByName(groups.where("group is null").select("doc_id", "mark").distinct()).select(F.col("doc_id").alias(same_doc), F.col("mark").alias(same_text))
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    keyed = docs.withColumn(mark, F.xxhash64("text"))
+    keyed = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(same_doc)) & (F.col(mark) == F.col(same_text)), "left_semi")
+    return keyed.groupBy("doc_id", mark).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row)).select(f"{row}.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -400,6 +400,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component, and what other pairs are still possible is bounded by `open_pairs`. Shingles and nodes are 64-bit hashes; different sets under
     one node number are detected, and the join runs with another seed.
     """
+    return grouped_rows(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def grouped_rows(docs: DataFrame) -> DataFrame:
+    """The rows of `near_duplicates` with `mark`, the xxhash64 of the text, and `group`, a number of the component that does not
+    rest on ids; null for texts without words."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for seed in range(4):
@@ -422,8 +428,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = join.nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(degree, "node", "left")
     smallest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = placed.join(smallest, "comp").select("node", "component_id", "n_links")
-    full = join.sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    named = placed.join(smallest, "comp").select("node", F.col("comp").alias("group"), "component_id", "n_links")
+    full = join.sets.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     return full.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "mark", "group",
     )

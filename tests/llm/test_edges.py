@@ -74,6 +74,18 @@ def test_stages_take_odd_and_empty_tables(spark, tmp_path, stage):
     assert run(spark, corpus.nothing(spark), where).count() == 0
 
 
+def test_near_duplicates_keep_texts_that_share_an_id(spark):
+    far = [" ".join(f"{k}w{i}" for i in range(40)) for k in "abcde"]
+    close = far[0] + " more"
+    texts = [(1, far[0]), (1, far[1]), (2, close), (None, far[2]), (None, far[3]), (None, close), (3, far[4]), (3, far[4]), (3, far[4] + " x"), (4, None), (None, None), (None, " ")]
+    docs = spark.createDataFrame([(d, t, *[None] * 7) for d, t in texts], corpus.SCHEMA)
+    out = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, "").collect()]
+    threes = [x for x in out if x[0] == 3]
+    assert len(threes) == 1 and threes[0][1] in (far[4], far[4] + " x")
+    assert sorted(map(str, set(out) - set(threes))) == sorted(map(str, [(1, far[0]), (1, far[1]), (None, far[2]), (None, far[3]), (4, None), (None, None), (None, " ")]))
+    assert len(out) == 8
+
+
 def test_pipeline_against_a_plain_version(spark, tmp_path):
     """Every stage is judged on its own input by plain code; the mix and the tokens have tests of their own."""
     from test_operators_against_plain import plain_components, plain_passages

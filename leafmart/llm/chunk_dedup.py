@@ -13,7 +13,7 @@ from leafmart.llm.common import SpanHash, bounded_batches, shards, staged, unuse
 
 #: The rolling hash sees so many bytes; a cut is its strict minimum among so many places on either side.
 WINDOW, REACH = 32, 24
-#: Runs of repeated chunks shorter than this stay: a short common phrase is no passage.
+#: Runs of repeated chunks shorter than this stay, unless they are the whole text: a short common phrase is no passage.
 MIN_RUN = 120
 
 GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
@@ -88,22 +88,22 @@ def chunk_lists(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, ["start", "end", "one", "two"]))
 
 
-def runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Touching spans joined; short runs left out."""
+def runs(spans: list[tuple[int, int]], least: int, size: int) -> list[tuple[int, int]]:
+    """Touching spans joined; short runs left out, but for one of all `size` bytes of the text."""
     out: list[list[int]] = []
     for a, b in spans:
         if out and out[-1][1] == a:
             out[-1][1] = b
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out if b - a >= least]
+    return [(a, b) for a, b in out if b - a >= min(least, size)]
 
 
 def deduplicate(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """`docs` (doc_id, text, ...) with a column `repeats` of (n_bytes, n_repeated, n_removed, spans, kept).
 
     Texts are cut into chunks (49 bytes on average, 25 at least but for the ends of a text); a chunk is repeated when its
-    128-bit digest occurs anywhere else. The first occurrence by doc_id, then by place, stays; spans are runs of at least `min_run` bytes of later ones,
+    128-bit digest occurs anywhere else. The first occurrence by doc_id, then by place, stays; spans are runs of at least `min_run` bytes, or of the whole text, of later ones,
     n_removed counts their bytes, kept is the rest as UTF-8 bytes (a cut may part a character). n_repeated counts the bytes of
     runs of repeated chunks, first ones included. Null or empty texts have no chunks; rows that agree in doc_id and text are
     one document and get the same answer; an empty table stays empty; a column named `repeats` is replaced.
@@ -128,7 +128,7 @@ def deduplicate(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         rows = []
         for raw, found in zip(text.cast(pa.binary()).to_pylist(), spans.to_pylist(), strict=True):
             raw, found = raw or b"", found or []
-            gone = runs([(s["start"], s["end"]) for s in found if not s["first"]], min_run)
+            gone = runs([(s["start"], s["end"]) for s in found if not s["first"]], min_run, len(raw))
             at, kept = 0, []
             for a, b in gone:
                 kept.append(raw[at:a])
@@ -136,7 +136,7 @@ def deduplicate(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             kept.append(raw[at:])
             rows.append(
                 {
-                    "n_bytes": len(raw), "n_repeated": sum(b - a for a, b in runs([(s["start"], s["end"]) for s in found], min_run)), "n_removed": sum(b - a for a, b in gone),
+                    "n_bytes": len(raw), "n_repeated": sum(b - a for a, b in runs([(s["start"], s["end"]) for s in found], min_run, len(raw))), "n_removed": sum(b - a for a, b in gone),
                     "spans": [{"start": a, "end": b} for a, b in gone], "kept": b"".join(kept),
                 }
             )

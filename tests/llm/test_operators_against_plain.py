@@ -396,6 +396,12 @@ def test_removed_chunks_occur_before(spark):
             assert any(part in t for doc, t in whole if doc < r["doc_id"]) or raw(r["text"]).count(part) > 1 or part in raw(r["text"])[: s["start"] + 59]
 
 
+def test_short_copies_are_removed_whole(spark):
+    docs = spark.createDataFrame([(1, "a short text"), (2, "a short text"), (3, "a short text"), (4, "another"), (5, ""), (6, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["repeats"] for r in chunk_dedup.deduplicate(docs).collect()}
+    assert [(got[i]["n_repeated"], got[i]["n_removed"], bytes(got[i]["kept"])) for i in range(1, 7)] == [(12, 0, b"a short text"), (12, 12, b""), (12, 12, b""), (0, 0, b"another"), (0, 0, b""), (0, 0, b"")]
+
+
 def test_gear_hash_sees_the_last_bytes():
     data = np.frombuffer(corpus.prose(random.Random(1)).encode(), np.uint8)
     h = chunk_dedup.gear_hashes(data, np.zeros(len(data), bool))

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmart.llm import bloom_lm, chunk_dedup, decontaminate, jaccard, language, licenses, mixing, suffix_dedup, token_files, vector_topk
+from leafmart.llm import bloom_lm, chunk_dedup, decontaminate, hard_negatives, jaccard, language, licenses, mixing, spelling, suffix_dedup, token_files, toxicity, vector_topk
 from leafmart.llm.common import fold_is
 
 
@@ -88,7 +88,26 @@ def op10_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_license_scan, op4_suffix_dedup, op5_jaccard_join, op6_mix_sources, op7_bloom_lm, op8_token_files, op9_chunk_dedup, op10_vector_topk)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.labelled_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", label)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score_texts(docs, toxicity.learn_weights(docs, labels))
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), F.col("toxicity.n_active").alias("n_active"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_license_scan, op4_suffix_dedup, op5_jaccard_join, op6_mix_sources, op7_bloom_lm, op8_token_files, op9_chunk_dedup, op10_vector_topk, op11_hard_negatives, op12_toxicity, op13_spelling_variants)}
 
 ORACLE: dict[str, str] = {
     "op10_vector_topk": """
@@ -106,6 +125,29 @@ WITH ok AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op11_hard_negatives": """
+WITH ok AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same,
+    CAST(list_sum([a.v[i] * b.v[i] FOR i IN range(1, len(a.v) + 1)]) AS BIGINT) AS score
+  FROM ok a JOIN ok b ON a.id <> b.id AND len(a.v) = len(b.v)
+  WHERE a.id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM scored WHERE same) WHERE k <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
 """,
     "op2_decontaminate": r"""
 WITH d AS (

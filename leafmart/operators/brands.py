@@ -1,15 +1,19 @@
-"""Brand detection as joins, fuzzy matching and discovery of new brand names.
+"""Brand detection by a word trie, fuzzy matching and discovery of new brand names.
 
-A brand in a text is found by an equi join of the text's words with the first words of the dictionary; only these
-candidates are tested with a pattern, instead of one regular expression per brand and row. Similar names are found by a prefix-filtered join on characters, never by comparing
-all pairs.
+The dictionary is a trie of words that every task holds (its size is checked); a text walks it once, from each of its words.
+A dictionary beyond the limit meets the texts by an equi join on first words instead. Similar names are found by a join on rare
+positional pairs of characters within length bands, never by comparing all pairs.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,12 +40,20 @@ MIN_FUZZY_LENGTH = 4
 HEAD_SPLIT = r"\s*[-|–—]\s*"
 
 
-def dictionary(brands: DataFrame, variations: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+def dictionary(brands: DataFrame, variations: DataFrame | None = None, aliases: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """Search terms: ``term`` (lower case), ``canonical``, ``brand`` (after aliases), ``is_variation``, ``n_words``.
 
     ``brands`` has ``brand``; ``variations`` has ``variation`` and ``canonical``; ``aliases`` has ``name`` and ``canonical``.
+    ``candidates`` has ``name``, ``status`` and perhaps ``canonical_name``: approved ones that are no brand yet become brands.
     """
-    terms = brands.select(F.col("brand").alias("canonical"), F.lit(0).alias("is_variation"), F.lower("brand").alias("term"))
+    names = brands.select(F.col("brand").alias("canonical"))
+    if candidates is not None:
+        own = F.coalesce(F.nullif("canonical_name", F.lit("")), "name") if "canonical_name" in candidates.columns else F.col("name")
+        approved = candidates.filter("status = 'approved'").select(own.alias("canonical")).filter("canonical <> ''")
+        # spellings that differ in case only are one brand
+        approved = approved.groupBy(F.lower("canonical").alias("_low")).agg(F.min("canonical").alias("canonical"))
+        names = names.unionByName(approved.join(names.select(F.lower("canonical").alias("_low")), "_low", "left_anti").select("canonical"))
+    terms = names.select("canonical", F.lit(0).alias("is_variation"), F.lower("canonical").alias("term"))
     if variations is not None:
         terms = terms.unionByName(variations.select("canonical", F.lit(1).alias("is_variation"), F.lower("variation").alias("term")))
     if aliases is None:
@@ -57,27 +69,113 @@ def blocked_brands(text: Column, blockers: list[tuple[str, str]] = STRAIN_BLOCKE
     return F.array_compact(F.array(*[F.when(text.rlike(CI + p), F.lit(b)) for p, b in blockers]))
 
 
+#: Terms, and their bytes, that a broadcast trie may have.
+TRIE_TERMS, TRIE_BYTES = 200_000, 16 << 20
+WORD = re.compile(r"\w+")
+
+
+class Trie:
+    """Terms by their words. A term matches where it stands in a text and a word ends with it; a term that starts with a sign
+    stands behind white space or at the start."""
+
+    def __init__(self, terms: list[tuple], blockers: list[tuple[str, str]]):
+        self.first: dict[str, list[tuple]] = {}
+        self.signs: list[tuple] = []
+        for term, canonical, brand, is_variation in terms:
+            row = (term, canonical, brand, is_variation)
+            found = WORD.match(term)
+            if found:
+                self.first.setdefault(found.group(), []).append(row)
+            else:
+                self.signs.append((re.compile(r"(?:^|\s)" + re.escape(term) + r"\b"), row))
+        self.blockers: dict[str, list] = {}
+        for pattern, brand in blockers:
+            self.blockers.setdefault(brand, []).append(re.compile(pattern, re.IGNORECASE))
+
+    def best(self, text: str | None) -> tuple[str | None, int | None]:
+        low = (text or "").lower()
+        if not low or low.startswith("none "):
+            return None, None
+        places: dict[tuple, int] = {}
+        for word in WORD.finditer(low):
+            for row in self.first.get(word.group(), ()):
+                at = word.start()
+                if row not in places and low.startswith(row[0], at) and ends_word(low, at + len(row[0])):
+                    places[row] = at
+        for pattern, row in self.signs:
+            found = pattern.search(low)
+            if found:
+                places[row] = found.start()
+        # the exact name or longest variation of each brand, then the best brand
+        of_brand: dict[str, tuple] = {}
+        for (term, canonical, brand, is_variation), at in places.items():
+            score = len(term) + (100 if at < 3 else 50 if at < 10 else 0)
+            rank = (-is_variation, len(term), score, brand)
+            if canonical not in of_brand or rank > of_brand[canonical]:
+                of_brand[canonical] = rank
+        order = sorted((-score, -minus, canonical.lower(), brand, canonical) for canonical, (minus, _, score, brand) in of_brand.items())
+        for minus, _, _, brand, canonical in order:
+            if not any(p.search(text) for p in self.blockers.get(canonical, ())):
+                return brand, -minus
+        return None, None
+
+
+def ends_word(text: str, at: int) -> bool:
+    """A word boundary between the characters before and at a place."""
+    before, after = text[at - 1], text[at : at + 1]
+    return bool(WORD.match(before)) != bool(WORD.match(after))
+
+
 def detect_brands(texts: DataFrame, terms: DataFrame, keys: list[str], text: str = "text",
-                  blockers: list[tuple[str, str]] = STRAIN_BLOCKERS) -> DataFrame:
+                  blockers: list[tuple[str, str]] = STRAIN_BLOCKERS, similar: bool = False) -> DataFrame:
     """Best brand per key of ``texts`` (only keys with a match): longest term, +100 when it starts in the first
     three characters, +50 in the first ten; exact names go before variations of the same brand.
 
-    The distinct words of a text meet the dictionary on the first word of a term; only those few candidates are
-    tested with the term's own pattern. Nothing is shuffled before that test when the dictionary is small.
+    With ``similar`` a text without any match gets the brand that resembles its head (the part before a dash or bar), with score 0.
     """
+    size = terms.agg(F.count("*"), F.sum(F.octet_length("term") + F.octet_length("canonical") + F.octet_length("brand"))).first()
+    small = size[0] <= TRIE_TERMS and (size[1] or 0) <= TRIE_BYTES
+    found = _by_trie(texts, terms, keys, text, blockers) if small else _by_join(texts, terms, keys, text, blockers)
+    if not similar:
+        return found.filter("brand IS NOT NULL").select(*keys, "brand", "score")
+    found = found.join(texts.select(*keys, F.col(text).alias("_text")), keys, "right") if not small else found
+    low = F.lower(F.col("_text"))
+    rest = found.filter(F.col("brand").isNull() & ~F.coalesce(low.startswith("none "), F.lit(False))).select(*keys, "_text", name_head(F.col("_text")).alias("name"))
+    exact = terms.filter("is_variation = 0").select("canonical", F.col("brand").alias("_to"))
+    near = fuzzy_brand_match(rest.select("name").distinct(), exact.select(F.col("canonical").alias("brand")))
+    close = rest.join(near.select("name", F.col("brand").alias("canonical")), "name").filter(~F.array_contains(blocked_brands(F.col("_text"), blockers), F.col("canonical")))
+    close = close.join(exact.dropDuplicates(["canonical"]), "canonical").select(*keys, F.col("_to").alias("brand"), F.lit(0).alias("score"))
+    return found.filter("brand IS NOT NULL").select(*keys, "brand", "score").unionByName(close)
+
+
+def _by_trie(texts: DataFrame, terms: DataFrame, keys: list[str], text: str, blockers: list[tuple[str, str]]) -> DataFrame:
+    rows = [tuple(r) for r in terms.select("term", "canonical", "brand", "is_variation").distinct().collect()]  # checked by the caller
+    shared = texts.sparkSession.sparkContext.broadcast((rows, blockers))
+
+    @F.arrow_udf("struct<brand: string, score: int>")
+    def walk(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trie = Trie(*shared.value)
+        for column in columns:
+            brands, scores = zip(*map(trie.best, column.to_pylist()), strict=True) if len(column) else ((), ())
+            yield pa.StructArray.from_arrays([pa.array(brands, pa.string()), pa.array(scores, pa.int32())], ["brand", "score"])
+
+    return texts.select(*keys, F.col(text).alias("_text")).withColumn("_b", walk(F.col("_text"))).select(*keys, "_text", "_b.brand", "_b.score")
+
+
+def _by_join(texts: DataFrame, terms: DataFrame, keys: list[str], text: str, blockers: list[tuple[str, str]]) -> DataFrame:
+    """The same for a dictionary of any size: words of a text meet first words of terms, candidates are tested with the term's pattern."""
     low = F.lower(F.col(text))
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"), F.lit(1)))
     usable = texts.filter(~low.startswith("none ")).select(*keys, F.col(text).alias("_text"), F.explode(words).alias("_word"))
     quoted = F.concat(F.lit(r"\Q"), F.col("term"), F.lit(r"\E\b"))
     start = F.when(F.col("term").rlike(r"(?U)^\w"), F.lit(r"(?iU)\b")).otherwise(F.lit(r"(?iU)(?:^|\s)"))
     book = terms.select("*", F.regexp_extract("term", r"(?U)(\w+)", 1).alias("_word"), F.concat(start, quoted).alias("_pattern"))
-    hits = usable.join(book, "_word").withColumn("pos", F.regexp_instr("_text", F.col("_pattern")) - 1).filter("pos >= 0")
+    hits = usable.join(book, "_word").filter(F.contains(F.lower("_text"), F.col("term"))).withColumn("pos", F.regexp_instr("_text", F.col("_pattern")) - 1).filter("pos >= 0")
     hits = hits.withColumn("_blocked", blocked_brands(F.col("_text"), blockers)).filter(~F.array_contains("_blocked", F.col("canonical")))
     bonus = F.when(F.col("pos") < 3, 100).when(F.col("pos") < 10, 50).otherwise(0)
     scored = hits.withColumn("score", F.length("term") + bonus)
-    # the exact name or longest variation of each brand, then the best brand
     per_brand = scored.groupBy(*keys, "canonical").agg(
-        F.max_by(F.struct("brand", "score", "is_variation"), F.struct(-F.col("is_variation"), F.length("term"), "score")).alias("r"))
+        F.max_by(F.struct("brand", "score", "is_variation"), F.struct(-F.col("is_variation"), F.length("term"), "score", "brand")).alias("r"))
     best = top_per_group(per_brand.select(*keys, "canonical", "r.*").withColumn("_low", F.lower("canonical")), keys,
                          ["score desc", "is_variation", "_low"], 1)
     return best.select(*keys, "brand", "score")
@@ -158,34 +256,64 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-def _char_tokens(names: DataFrame, name: str) -> DataFrame:
-    """Characters of a name with their occurrence number, as one row per token."""
-    chars = names.select(name, F.length(name).alias("len"), F.posexplode(F.split(name, "")).alias("p", "ch")).filter("ch <> ''")
-    nth = F.row_number().over(Window.partitionBy(name, "ch").orderBy("p"))
-    return chars.select(name, "len", F.concat_ws("#", "ch", nth.cast("string")).alias("token"))
+def _matched(total: int, threshold: float) -> int:
+    """Least number of matched characters of a pair with `total` characters and a ratio of the threshold."""
+    return math.ceil(threshold * total / 2 - 1e-9)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of distinct lower-case names with ratio >= threshold, without comparing all pairs.
+def _tokens(names: DataFrame, name: str, q: int) -> DataFrame:
+    """Runs of q characters of a name with their occurrence number and place, and whether the run occurs again."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(name) - q + 1), lambda i: F.substr(F.col(name), i, F.lit(q)))
+    grams = names.filter(F.length(name) >= q).select(name, F.length(name).alias("len"), F.posexplode(runs).alias("at", "gram"))
+    own = Window.partitionBy(name, "gram")
+    nth = F.row_number().over(own.orderBy("at"))
+    return grams.select(name, "len", "at", F.concat_ws("#", nth.cast("string"), "gram").alias("token"), (F.count("*").over(own) > 1).alias("again"))
+
+
+def _prefix_join(left: DataFrame, right: DataFrame, threshold: float, q: int, needed: dict[tuple[int, int], int]) -> DataFrame:
+    """Pairs that share one of the rarest tokens each must share, for the pairs of lengths in `needed` (length, length -> common tokens)."""
+    spark = left.sparkSession
+    lengths = F.broadcast(spark.createDataFrame([(a, b, n, max(a, b) - _matched(a + b, threshold)) for (a, b), n in needed.items()], "len_a int, len_b int, common int, shift int"))  # a row a pair of lengths
+    left = left.filter(F.length("a").isin(sorted({a for a, _ in needed})))
+    right = right.filter(F.length("b").isin(sorted({b for _, b in needed})))
+    freq = _tokens(right, "b", q).groupBy("token").agg(F.count("*").alias("f"))
+
+    def prefix(names: DataFrame, name: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("f", F.lit(0)), "token"))
+        ranked = _tokens(names, name, q).join(freq, "token", "left").withColumn("r", rank)
+        open_ = ranked.join(lengths, F.col("len") == F.col(f"len_{name}")).filter(F.col("r") <= F.col("len") - q + 2 - F.col("common"))
+        return open_.select(name, "len_a", "len_b", "shift", "token", F.col("at").alias(f"at_{name}"), F.col("again").alias(f"again_{name}"))
 
-    A ratio of t needs at least t/2 x (len a + len b) common characters. Both sides are cut to the prefix of their
-    rarest character tokens that any such pair must share (set-similarity prefix filter), joined on the token, then
-    checked for length and finally by the exact ratio. Nothing is dropped that could reach the threshold.
+    pairs = prefix(left, "a").join(prefix(right, "b").drop("shift"), ["len_a", "len_b", "token"])
+    near = F.col("again_a") | F.col("again_b") | (F.abs(F.col("at_a") - F.col("at_b")) <= F.col("shift"))
+    return pairs.filter(near).select("a", "b").distinct()
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of distinct names, all that can reach the ratio and few others.
+
+    A ratio of t means M >= t/2 x (len a + len b) matched characters, in blocks that stand in the same order in both. With k
+    characters unmatched there are k + 1 blocks at most, which together hold M - k - 1 common pairs of neighbours, each shifted
+    by no more than the unmatched characters of a name. Names are therefore joined, length by length, on the rarest of their
+    positional pairs; the few lengths where no common pair is certain are joined on their rarest characters.
     """
-    la, lb = _char_tokens(left, "a"), _char_tokens(right, "b")
-    freq = lb.groupBy("token").agg(F.count("*").alias("f"))
-
-    def prefix(tokens: DataFrame, name: str) -> DataFrame:
-        # least overlap of a name of length l with any partner: l * t / (2 - t)
-        least = F.ceil(F.col("len") * threshold / (2 - threshold) - 1e-9)
-        ranked = tokens.join(freq, "token", "left").withColumn(
-            "r", F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("f", F.lit(0)), "token")))
-        return ranked.filter(F.col("r") <= F.col("len") - least + 1).select(name, F.col("len").alias(f"len_{name}"), "token")
-
-    pairs = prefix(la, "a").join(prefix(lb, "b"), "token").filter(
-        2 * F.least("len_a", "len_b") >= threshold * (F.col("len_a") + F.col("len_b")) - 1e-9).select("a", "b").distinct()
+    def ends(names: DataFrame, name: str) -> list[int]:
+        return [r[0] for r in names.select(F.length(name)).distinct().collect() if r[0]]  # a row a name length
+
+    both = [(a, b, _matched(a + b, threshold)) for a in ends(left, "a") for b in ends(right, "b")]
+    both = [(a, b, m) for a, b, m in both if m <= min(a, b)]
+    by_pair = {(a, b): 3 * m - a - b - 1 for a, b, m in both if 3 * m - a - b - 1 >= 1 and min(a, b) >= 2}
+    by_char = {(a, b): m for a, b, m in both if (a, b) not in by_pair}
+    empty = left.sparkSession.createDataFrame([], "a string, b string")
+    parts = [_prefix_join(left, right, threshold, q, needed) for q, needed in ((2, by_pair), (1, by_char)) if needed]
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else empty
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of distinct lower-case names with ratio >= threshold, without comparing all pairs."""
+    pairs = candidate_pairs(left, right, threshold)
     # what does not match lies between matches, so replacing it turns one name into the other in as many edits at most
-    unmatched = F.floor((1 - threshold) * (F.length("a") + F.length("b")) + 1e-9)
+    unmatched = F.length("a") + F.length("b") - 2 * F.ceil(threshold * (F.length("a") + F.length("b")) / 2 - 1e-9)
     pairs = pairs.filter(F.levenshtein("a", "b") <= unmatched)
     return pairs.withColumn("ratio", similarity("a", "b")).filter(F.col("ratio") >= threshold)
 
@@ -205,6 +333,24 @@ def normalize_candidate(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, CI + r"\s*(?:cannabis|extracts?|labs?|farms?|edibles?|vapes?)\s*$", ""))
 
 
+def join_leaders(names: DataFrame, leaders: DataFrame, threshold: float = 0.80) -> DataFrame:
+    """``name`` and ``leader`` of the names that resemble a stored leader: itself, else the longest, then the first by name."""
+    lows = names.select(F.lower("name").alias("a")).distinct()
+    known = leaders.select(F.col("name").alias("leader"), F.lower("name").alias("b")).distinct()
+    near = similar_pairs(lows, known.select("b").distinct(), threshold).join(known, "b")
+    rows = names.select("name", F.lower("name").alias("a")).distinct().join(near.select("a", "leader"), "a")
+    order = F.struct(F.col("leader") != F.col("name"), -F.length("leader"), "leader")
+    return rows.groupBy("name").agg(F.min_by("leader", order).alias("leader"))
+
+
+def clusters_with(names: DataFrame, leaders: DataFrame | None, threshold: float = 0.80) -> DataFrame:
+    """``name`` and ``leader``: names meet the stored leaders first, only the rest is clustered. Clustering again what is stored changes nothing."""
+    if leaders is None:
+        return leader_clusters(names, threshold)
+    settled = cut_lineage(join_leaders(names, leaders, threshold))
+    return settled.unionByName(leader_clusters(names.join(settled, "name", "left_anti"), threshold))
+
+
 def leader_clusters(names: DataFrame, threshold: float = 0.80) -> DataFrame:
     """Clusters as a greedy pass would make them: names from long to short, each joins the first earlier leader it
     resembles, or leads itself. Returns ``name`` and ``leader``.
@@ -242,17 +388,17 @@ def recent_unmatched(daily: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return now if not now.isEmpty() else daily.filter(F.col("run_date") >= F.date_sub(today, days))
 
 
-def brand_candidates(daily: DataFrame, brands: DataFrame, min_observations: int = 10) -> DataFrame:
+def brand_candidates(daily: DataFrame, brands: DataFrame, min_observations: int = 10, leaders: DataFrame | None = None) -> DataFrame:
     """New brand names from daily unmatched names (``region``, ``run_date``, ``names`` array).
 
-    Names are normalised and counted in Spark; only names seen often enough are clustered. Names that are a known
-    brand (equal, or similar by 0.95) are left out. ``state_count`` counts regions.
+    Names are normalised and counted in Spark; only names seen often enough are clustered, stored ``leaders`` (``name``) first.
+    Names that are a known brand (equal, or similar by 0.95) are left out. ``state_count`` counts regions.
     """
     words = daily.select("region", F.explode("names").alias("raw")).filter(F.length("raw") >= 3).withColumn(
         "name", normalize_candidate(F.col("raw"))).filter("name <> ''")
     counts = words.groupBy("name").agg(F.count("*").alias("n"), F.collect_set("region").alias("regions"))
     frequent = cut_lineage(counts.filter(F.col("n") >= min_observations))
-    clusters = leader_clusters(frequent)
+    clusters = cut_lineage(clusters_with(frequent, leaders))
     raws = words.groupBy("name", "raw").agg(F.count("*").alias("c"))
     samples = top_per_group(raws.join(frequent.select("name"), "name", "left_semi"), ["name"], ["c desc", "raw"], 5)
     sample_of = samples.join(clusters, "name").groupBy("leader").agg(
@@ -266,3 +412,16 @@ def brand_candidates(daily: DataFrame, brands: DataFrame, min_observations: int
     out = out.join(known, F.lower("leader") == F.col("_b"), "left_anti")
     return out.select(F.col("leader").alias("name"), "observation_count", F.size("regions_seen").cast("long").alias("state_count"), "regions_seen",
                       "samples", "closest_existing_brand", F.round("ratio", 3).alias("similarity_score"), F.lit("pending").alias("status"))
+
+
+def learn_brands(daily: DataFrame, brands: DataFrame, stored: DataFrame, as_of: str, days: int = 30, min_observations: int = 10) -> DataFrame:
+    """The candidates table after a run: unmatched names of today or the last days, upserted by name into ``stored``.
+
+    Stored candidates lead the clusters, so a name keeps its candidate; a candidate that is seen again takes the new counts and
+    keeps the status an admin gave it. Running again over the same days changes nothing.
+    """
+    found = brand_candidates(recent_unmatched(daily, as_of, days), brands, min_observations, stored.select("name"))
+    found = found.withColumn("last_seen_at", F.lit(as_of).cast("timestamp"))
+    old = stored.select("name", F.col("status").alias("_status"))
+    found = found.join(old, "name", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+    return found.unionByName(stored.join(found.select("name"), "name", "left_anti"), allowMissingColumns=True)

@@ -127,10 +127,21 @@ def day_over_day_by_store(scored: DataFrame, as_of: str) -> DataFrame:
                       "products_yesterday", "deals_yesterday", "products_today", "deals_today")
 
 
-def daily_metrics(top_deals: DataFrame, judged: DataFrame) -> DataFrame:
+def top_names(rows: DataFrame, keys: list[str], name: str, n: int = 20) -> DataFrame:
+    """The ``n`` most frequent names per key, as an array ``top_names``, ties by name. Names are counted with map-side sums, and each
+    task passes on its first ``n`` of a key only, so a key with most of the rows costs no more than others."""
+    counts = rows.groupBy(*keys, name).agg(F.count("*").alias("_c"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_c"), name))
+    best = counts.withColumn("_p", place).filter(F.col("_p") <= n)
+    return best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", name))), lambda x: x[name]).alias("top_names"))
+
+
+def daily_metrics(top_deals: DataFrame, judged: DataFrame, unmatched: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """Quality metrics per (run_date, region): ``top_deals`` are the selected offers, ``judged`` all listings.
 
-    The middle score comes from a score histogram (at most 101 values per group) and is cut to a whole number.
+    The middle score comes from a score histogram (at most 101 values per group) and is cut to a whole number. With ``unmatched``
+    (run_date, region, name: a row a listing without brand) the 20 most frequent names are added, with ``runs`` (run_date, region,
+    sites_scraped, sites_failed, runtime_seconds: a row a run) the sums of the runs; both are empty where a day has none.
     """
     keys = ["run_date", "region"]
     cat = lambda c: count_if(F.col("category") == c).alias(f"{c}_count")
@@ -153,9 +164,17 @@ def daily_metrics(top_deals: DataFrame, judged: DataFrame) -> DataFrame:
     out = totals.join(deals, keys, "left").join(mid, keys, "left").join(brands, keys, "left").join(stores, keys, "left")
     counts = [c for c in out.columns if c not in keys and c != "_sum"]
     out = out.na.fill(0, [*counts, "_sum"])
+    extra = []
+    if unmatched is not None:
+        out = out.join(top_names(unmatched, keys, "name"), keys, "left")
+        extra.append(F.coalesce("top_names", F.array().cast("array<string>")).alias("top_unmatched_brands"))
+    if runs is not None:
+        sums = ["sites_scraped", "sites_failed", "runtime_seconds"]
+        out = out.join(runs.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]), keys, "left")
+        extra += [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in sums]
     total = F.col("total_products")
     return out.select(
-        *keys, *[F.col(c).cast("long").alias(c) for c in counts],
+        *keys, *[F.col(c).cast("long").alias(c) for c in counts], *extra,
         F.coalesce(ratio_even(F.col("_sum"), F.col("qualifying_deals"), 2), F.lit(0.0)).alias("avg_deal_score"),
         ratio_even(total - F.col("brand_null_count"), total, 1, 100).alias("brand_detection_rate"),
         ratio_even(F.col("price_cap_reject_count"), total, 1, 100).alias("price_cap_reject_rate"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmart.operators import catalog, curation, engagement, listings, maintenance, prices, runs
+from leafmart.operators import catalog, engagement, listings, maintenance, prices, runs, selection
 from leafmart.session import cut_lineage
 
 
@@ -15,7 +15,7 @@ def daily_run(raw: DataFrame, terms: DataFrame, stores: DataFrame, dynamic_caps:
     cards = listings.with_default_platform(raw, stores)
     parsed = cut_lineage(listings.parse_listings(cards, terms))
     placed = parsed.join(stores.select(F.col("id").alias("dispensary_id"), "region"), "dispensary_id", "left") if "region" not in parsed.columns else parsed
-    staged = cut_lineage(curation.detect_deals(placed, ["dispensary_id"], dynamic_caps, tiers))
+    staged = cut_lineage(selection.detect_deals(placed, ["dispensary_id"], dynamic_caps, tiers))
     return {"parsed": parsed, "offers": staged.filter("is_selected = 1"), "report": catalog.site_funnel_report(staged, ["dispensary_id"]),
             "unmatched": listings.unmatched_candidates(parsed)}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["offers", "visitors", "audits", "runs", "upkeep", "texts", "window"]
+AREAS = ["offers", "visitors", "audits", "runs", "upkeep", "texts", "window", "selection"]
 
 
 def _areas():

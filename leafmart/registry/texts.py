@@ -245,10 +245,20 @@ _blocked = " OR ".join(f"(t.canonical = '{bb}' AND regexp_matches(r.raw_text, {r
 o.EXTRA["o_hits"] = f"""
 SELECT r.id, t.*, length(regexp_extract(lower(r.raw_text), '^(.*?)\\b' || t.term || '\\b', 1, 's')) AS pos FROM v_raw_listings r
 JOIN o_terms t ON regexp_matches(lower(r.raw_text), '\\b' || t.term || '\\b') AND NOT ({_blocked})"""
+
+
+def _misspelt(s, d):
+    """Names whose brand lost a sign in front of the number, as `Brand3 - ...`."""
+    low = F.when(F.col("scraped_brand") != "", F.replace("scraped_brand", F.lit("#"), F.lit(""))).otherwise("Nobody")
+    return raw(s, d).select("id", F.concat(low, F.lit(" - "), F.regexp_replace("name", r"(?i)\b(new|blue)\b", "x")).alias("name"))
+
+
 register("detect_brand", lambda s, d: b.detect_brands(raw(s, d).select("id", "raw_text"), terms(s, d), ["id"], "raw_text", BLOCKERS).select("id", "brand", F.col("score").cast("long").alias("score")), """
 WITH sc AS (SELECT *, length(term) + CASE WHEN pos < 3 THEN 100 WHEN pos < 10 THEN 50 ELSE 0 END AS score FROM o_hits),
 c AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY id, canonical ORDER BY is_var, length(term) DESC, score DESC) = 1)
 SELECT id, brand, CAST(score AS BIGINT) AS score FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, is_var, lower(canonical)) = 1""")
+#: Heads of offers that resemble a brand without naming it; the ratio itself is checked in the tests.
+register("detect_brand_similar", lambda s, d: b.detect_brands(_misspelt(s, d), terms(s, d), ["id"], "name", BLOCKERS, similar=True).select("id", "brand", F.col("score").cast("long").alias("score")))
 register("strain_blockers", lambda s, d: raw(s, d).select("id", F.array_join(F.array_sort(b.blocked_brands(F.col("raw_text"), BLOCKERS)), ",").alias("blocked")),
          f"""SELECT id, array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN regexp_matches(raw_text, {rx(p)}, 'i') THEN '{bb}' END" for p, bb in BLOCKERS)}], lambda x: x IS NOT NULL)), ',') AS blocked FROM v_raw_listings""")
 register("brand_from_url", lambda s, d: b.brands_from_url(raw(s, d), terms(s, d), "id"), """
@@ -282,5 +292,16 @@ def _fuzzy(s, d):
 
 
 register("fuzzy_brand_match", _fuzzy)
+
+
+def _learned(s, d):
+    """Candidates after a second run over the same days, with one candidate approved and one rejected before it."""
+    daily, brands = _daily(s, d), _word_brands(s, d)
+    first = b.learn_brands(daily, brands, s.createDataFrame([], "name string, status string"), "2024-01-31", 30, 5)
+    judged_ = first.withColumn("status", F.when(F.col("observation_count") % 3 == 0, "approved").when(F.col("observation_count") % 3 == 1, "rejected").otherwise("pending"))
+    return b.learn_brands(daily, brands, judged_, "2024-01-31", 30, 5)
+
+
+register("learned_brands", lambda s, d: _learned(s, d).select("name", "observation_count", "state_count", "status", "closest_existing_brand"))
 register("brand_candidates", lambda s, d: b.brand_candidates(_daily(s, d), _word_brands(s, d), 5).select(
     "name", "observation_count", "state_count", F.array_join("regions_seen", ",").alias("regions"), "closest_existing_brand", "similarity_score"))

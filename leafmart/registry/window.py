@@ -190,15 +190,6 @@ def live(s, d):
 register("hero_slots", lambda s, d: as_long(cu.hero_slots(live(s, d), ["region"]), "slot"), _hero_sql())
 
 
-def _pool(s, d):
-    strict = live(s, d).select("*", *pricing.quality_flags()).filter("strict_ok")
-    return ranking.dedup_global_name(ranking.dedup_cross_chain(ranking.limit_similar(strict, scope=["dispensary_id"]), ["dispensary_id"]), ["dispensary_id"])
-
-
-register("select_top_deals", lambda s, d: cu.select_top_deals(_pool(s, d), ["dispensary_id"]).select("dispensary_id", "id", "display_rank"))
-register("detect_deals", lambda s, d: cu.detect_deals(products(s, d), ["dispensary_id"], tiers=TIERS).filter("is_selected = 1").select("id", "dispensary_id", day_text("run_date").alias("day"), "deal_score", "is_guaranteed"))
-
-
 def _feed(s, d):
     """Feed of every region, at most 500 offers each."""
     return ranking.top_per_group(live(s, d), ["region"], ranking.SCORE_ORDER, 500)
@@ -270,7 +261,7 @@ def _ingest(s, d):
     root = jobs.work_folder(s, "ingest")
     jobs.event_ingest(_stream(s, d), root, cap=2)
     # which two events of a day are first depends on the order of arrival, how many are accepted does not
-    return s.read.option("basePath", f"{root}/accepted").parquet(f"{root}/accepted/v=*").groupBy("anon_id", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    return jobs.accepted_events(s, root).groupBy("anon_id", "day").agg(F.count("*").alias("n"))
 
 
 register("event_ingest", _ingest, "SELECT anon_id, strftime(created_at, '%Y-%m-%d') AS day, least(2, COUNT(*)) AS n FROM v_analytics_events GROUP BY 1, 2")

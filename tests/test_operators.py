@@ -124,11 +124,11 @@ def test_six_part_brand_slug(spark):
 
 @pytest.mark.parametrize("many", [300, 400, 4000])
 def test_small_store_keeps_its_minimum_beside_a_big_one(spark, many):
-    from leafmart.operators import curation
+    from leafmart.operators import selection
 
     def rows(store, n):
         return [(f"{store}-{i:05d}", store, f"{store} item {i}", "brand a" if store == "big" else "brand b", "flower", None, 3.5, 90 - (store == "small") * 40, 10.0 + i / 100, 30.0 + i, 60.0, "r") for i in range(n)]
 
     schema = "id string, dispensary_id string, name string, brand string, category string, product_subtype string, weight_value double, deal_score int, sale_price double, original_price double, discount_percent double, region string"
-    got = curation.select_top_deals(spark.createDataFrame(rows("big", many) + rows("small", 3), schema), ["region"]).groupBy("dispensary_id").count().collect()
+    got = selection.select_top_deals(spark.createDataFrame(rows("big", many) + rows("small", 3), schema), ["region"]).groupBy("dispensary_id").count().collect()
     assert {r["dispensary_id"] for r in got} == {"big", "small"}

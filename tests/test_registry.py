@@ -24,7 +24,7 @@ def test_matches_sql(spark, name):
 
 def test_curated_store_lists_keep_the_caps(spark):
     out = entry.queries()["select_top_deals"](spark, SF).toPandas()
-    assert out["id"].is_unique and (out.groupby("dispensary_id").size() <= 24 + 3).all()
+    assert out["id"].is_unique and (out.groupby("deal_group").size() <= 24 + 3).all()
 
 
 def test_every_oracle_has_a_query():

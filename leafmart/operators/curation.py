@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from leafmart.functions.arrays import let
 from leafmart.functions.pricing import chain_of
 from leafmart.operators.ranking import SCORE_ORDER, top_n, top_per_group
 
@@ -48,139 +47,151 @@ def hero_slots(deals: DataFrame, group_cols: list[str]) -> DataFrame:
     return picked.select(*group_cols, F.inline("p"))
 
 
-def _chain_list(rows: list, tiers: dict) -> list:
-    """Draw tiers by how far they lag behind their share, taking the first offer that keeps the spacing rules."""
-    queues = {t: [r for r in rows if r["tier"] == t] for t in tiers}
-    drawn, out = {t: 0 for t in tiers}, []
-
-    def fits(r) -> bool:
-        if out and out[-1]["brand_id"] == r["brand_id"]:
-            return False
-        for field, n in (("category", 3), ("dispensary_id", 2), ("chain", 2)):
-            if len(out) >= n and all(o[field] == r[field] for o in out[-n:]):
-                return False
-        return True
-
-    for i in range(len(rows)):
-        open_tiers = [t for t in tiers if queues[t]]
-        first = max(open_tiers, key=lambda t: (tiers[t] * (i + 1) - drawn[t], -list(tiers).index(t)))
-        order = [first] + [t for t in open_tiers if t != first]
-        tier, at = next(((t, j) for t in order for j, r in enumerate(queues[t]) if fits(r)), (first, 0))
-        out.append(queues[tier].pop(at))
-        drawn[tier] += 1
-    return out
+SHUFFLE_TIERS = {1: 0.40, 2: 0.45, 3: 0.15}
+#: Opening places in which no store shows more than two offers; heroes keep theirs.
+OPENING, HEROES, OPENING_PER_STORE = 12, 7, 2
+CARD = "struct<tier: int, draw: string, id: string, brand: string, category: string, store: string, chain: string>"
 
 
-def _rebalance(deck: list, heroes: int, window: int = 12, most: int = 2) -> list:
-    """Offers of a store shown more than twice in the first twelve places trade places with later ones."""
-    for _ in range(3):
-        counts: dict = {}
-        for r in deck[:window]:
-            counts[r["dispensary_id"]] = counts.get(r["dispensary_id"], 0) + 1
-        moved = False
-        for i in range(heroes, min(window, len(deck))):
-            store = deck[i]["dispensary_id"]
-            if counts.get(store, 0) <= most:
-                continue
-            j = next((j for j in range(window, len(deck)) if counts.get(deck[j]["dispensary_id"], 0) < most), None)
-            if j is not None:
-                counts[store] -= 1
-                counts[deck[j]["dispensary_id"]] = counts.get(deck[j]["dispensary_id"], 0) + 1
-                deck[i], deck[j] = deck[j], deck[i]
-                moved = True
-        if not moved:
-            break
-    return deck
+def _swapped(deck: Column, i: Column, j: Column) -> Column:
+    return F.transform(deck, lambda x, k: F.when(k == i, F.get(deck, j)).when(k == j, F.get(deck, i)).otherwise(x))
 
 
-SHUFFLE_TIERS = {1: 0.40, 2: 0.45, 3: 0.15}
+def _draw(done: Column, i: Column) -> Column:
+    """One more card: of the tier that lags most behind its share the first that keeps the spacing rules, else of another tier, else
+    the first of that tier. No brand follows itself, no category stands four times in a row, no store or chain three times."""
+    left, out = done["left"], done["out"]
+    lag = lambda t, share: F.struct((F.lit(share) * i - F.size(F.filter(out, lambda y: y["tier"] == t))).alias("lag"), F.lit(-t).alias("tier"))
+    lags = F.array(*[F.when(F.exists(left, lambda x: x["tier"] == t), lag(t, share)) for t, share in SHUFFLE_TIERS.items()])
+    first = -F.array_max(F.array_compact(lags))["tier"]
+    tail = lambda n: F.slice(F.reverse(out), 1, n)
+    recent = F.struct(first.alias("first"), tail(1).alias("one"), tail(2).alias("two"), tail(3).alias("three"))
+
+    def ranked(r: Column) -> Column:
+        same = lambda name, field, n, x: (F.size(r[name]) == n) & F.forall(r[name], lambda y: y[field] == x[field])
+        return F.array_min(F.transform(left, lambda x: F.struct(
+            (same("one", "brand", 1, x) | same("three", "category", 3, x) | same("two", "store", 2, x) | same("two", "chain", 2, x)).alias("breaks"),
+            F.when(x["tier"] == r["first"], 0).otherwise(x["tier"]).alias("turn"), x["draw"].alias("draw"), x["id"].alias("id"))))["id"]
+
+    # a card that breaks a rule is only taken when all do, and then of the first tier: breaks sorts before turn
+    return let(let(recent, ranked), lambda best: F.struct(
+        F.filter(left, lambda x: x["id"] != best).alias("left"), F.concat(out, F.filter(left, lambda x: x["id"] == best)).alias("out")))
+
+
+def _spread_stores(deck: Column) -> Column:
+    """Cards of a store that stands more than twice in the opening trade places with the first later card of a store that does not."""
+    def trade(cards: Column, i: Column) -> Column:
+        opening = F.transform(F.slice(cards, 1, OPENING), lambda y: y["store"])
+        shown = lambda stores, store: F.size(F.filter(stores, lambda y: y == store))
+        crowded = shown(opening, F.get(cards, i)["store"]) > OPENING_PER_STORE
+        later = let(opening, lambda stores: F.filter(F.sequence(F.lit(OPENING), F.size(cards) - 1), lambda k: shown(stores, F.get(cards, k)["store"]) < OPENING_PER_STORE))
+        return F.when(~crowded, cards).otherwise(let(F.get(later, F.lit(0)), lambda j: F.when(j.isNotNull(), _swapped(cards, i, j)).otherwise(cards)))
+
+    places = F.array(*[F.lit(i) for _ in range(3) for i in range(HEROES, OPENING)])
+    return F.when(F.size(deck) > OPENING, F.aggregate(places, deck, trade)).otherwise(deck)
 
 
 def tier_shuffle(feed: DataFrame, group_cols: list[str], seed: str) -> DataFrame:
-    """Heroes first, then the seeded mix of score tiers with spacing. A feed holds at most 500 offers per group.
+    """Heroes first, then the seeded mix of score tiers with spacing: a fold over the cards of a feed, which holds at most 500 a group
+    (a rule of the feed; larger groups only take longer).
 
-    The order inside a tier is the hash of seed and id, the same on every run and partitioning.
+    The order inside a tier is the md5 of seed and id, the same on every run and partitioning.
     """
     s = F.col("deal_score")
     heroes = hero_slots(feed, group_cols).select("id", F.col("slot").alias("hero"))
-    df = feed.join(heroes, "id", "left").withColumns({
-        "tier": F.when(s >= 75, 1).when(s >= 40, 2).otherwise(3), "chain": chain_of(F.col("dispensary_id")),
-        "brand_id": F.coalesce(F.lower("brand"), F.lit("unknown")), "draw": F.xxhash64(F.lit(seed), F.col("id"))})
-    fields = ["id", "hero", "tier", "draw", "category", "dispensary_id", "chain", "brand_id"]
-    schema = T.StructType([*[T.StructField(g, df.schema[g].dataType) for g in group_cols], T.StructField("id", T.StringType()),
-                           T.StructField("position", T.LongType())])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["draw", "id"]).to_dict("records")
-        first = sorted((r for r in rows if not pd.isna(r["hero"])), key=lambda r: r["hero"])
-        deck = first + _chain_list([r for r in rows if pd.isna(r["hero"])], SHUFFLE_TIERS)
-        if len(deck) > 12:
-            deck = _rebalance(deck, 7)
-        return pd.DataFrame({**{g: [k] * len(deck) for g, k in zip(group_cols, key)}, "id": [r["id"] for r in deck], "position": range(1, len(deck) + 1)})
-
-    return df.select(*group_cols, *[f for f in fields if f not in group_cols]).groupBy(*group_cols).applyInPandas(run, schema)
+    card = F.struct(
+        F.when(s >= 75, 1).when(s >= 40, 2).otherwise(3).alias("tier"), F.md5(F.concat(F.lit(seed), F.col("id"))).alias("draw"), F.col("id"),
+        F.coalesce(F.lower("brand"), F.lit("unknown")).alias("brand"), F.col("category"), F.coalesce("dispensary_id", F.lit("")).alias("store"),
+        F.coalesce(chain_of(F.col("dispensary_id")), F.lit("")).alias("chain"))
+    df = feed.join(heroes, "id", "left").withColumn("card", card)
+    cards = df.groupBy(*group_cols).agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("hero").isNotNull(), F.struct("hero", "card")))), lambda x: x["card"]).cast(f"array<{CARD}>").alias("heroes"),
+        F.array_sort(F.collect_list(F.when(F.col("hero").isNull(), F.col("card")))).cast(f"array<{CARD}>").alias("rest"))
+    start = F.struct(F.col("rest").alias("left"), F.array().cast(f"array<{CARD}>").alias("out")).cast(f"struct<left: array<{CARD}>, out: array<{CARD}>>")
+    state = f"struct<left: array<{CARD}>, out: array<{CARD}>>"
+    mixed = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("rest"), F.lit(1))), start, lambda d, i: F.when(F.size(d["left"]) == 0, d).otherwise(_draw(d, i).cast(state)))
+    decks = cards.withColumn("mixed", F.concat("heroes", mixed["out"])).select(*group_cols, _spread_stores(F.col("mixed")).alias("deck"))
+    return decks.select(*group_cols, F.posexplode("deck").alias("_at", "_card")).select(*group_cols, F.col("_card.id").alias("id"), (F.col("_at") + 1).cast("long").alias("position"))
 
 
 FEED_QUOTAS = {"flower": 2, "vape": 2, "preroll": 1, "edible": 1, "concentrate": 1}
 ROUND_ORDER = ["flower", "vape", "concentrate", "preroll", "edible"]
+#: How far back a brand, store or category may not stand again, and what it is worth to repair that, at the place and for the card that gives way.
+SPACING = {"brand": (3, 2.0, 1.0), "store": (2, 2.0, 1.0), "category": (2, 1.0, 0.5)}
+SPACING_ROUNDS = 10
+
+
+def _openers(feed: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Ids of the opening row: per category its quota, with brands new to the row, then new to the category, then any.
+
+    A quota of n is met by the best offers of n + (all quotas) brands and by the n best offers, so few rows a group are folded.
+    """
+    total = sum(FEED_QUOTAS.values())
+    turn = F.create_map(*[x for i, c in enumerate(FEED_QUOTAS) for x in (F.lit(c), F.lit(i))])
+    order = ["deal_score desc", "id"]
+    heads = top_per_group(top_per_group(feed, [*group_cols, "category", "brand_id"], order, 1), [*group_cols, "category"], order, total + 2)
+    few = heads.unionByName(top_per_group(feed, [*group_cols, "category"], order, total)).dropDuplicates(["id"])
+    item = F.struct(turn[F.col("category")].alias("turn"), (-F.col("deal_score")).alias("less"), "id", F.col("brand_id").alias("brand"))
+    lists = few.groupBy(*group_cols).agg(F.array_sort(F.collect_list(item)).alias("c"))
+    start = F.expr("cast(array() as array<struct<stale: int, less: int, id: string, turn: int, brand: string>>)")
+
+    def pick(done: Column, turn_now: Column) -> Column:
+        own = lambda y: y["turn"] == turn_now
+        fresh = F.filter("c", lambda x: (x["turn"] == turn_now) & ~F.exists(done, lambda y: y["id"] == x["id"]))
+        stale = lambda x: F.when(F.exists(done, lambda y: own(y) & (y["brand"] == x["brand"])), 2).when(F.exists(done, lambda y: y["brand"] == x["brand"]), 1).otherwise(0)
+        best = F.array_min(F.transform(fresh, lambda x: F.struct(stale(x).alias("stale"), x["less"].cast("int").alias("less"), x["id"].alias("id"), x["turn"].alias("turn"), x["brand"].alias("brand"))))
+        return F.when(best.isNull(), done).otherwise(F.concat(done, F.array(best)))
+
+    turns = F.array(*[F.lit(i) for i, n in enumerate(FEED_QUOTAS.values()) for _ in range(n)])
+    return lists.select(*group_cols, F.posexplode(F.aggregate(turns, start, pick)).alias("opening", "x")).select(*group_cols, F.col("x.id").alias("id"), "opening")
+
+
+def _spaced(deck: Column) -> Column:
+    """Cards that stand too near to one of the same brand, store or category change places with the later card that repairs most.
+
+    A round walks the deck once; rounds end when one changes nothing.
+    """
+    def near(cards: Column, i: Column, x: Column, name: str) -> Column:
+        span = SPACING[name][0]
+        before = F.slice(cards, F.greatest(i - span, F.lit(0)) + 1, F.least(i, F.lit(span)))
+        return F.exists(before, lambda y: y[name] == x[name])
+
+    def step(state: Column, i: Column) -> Column:
+        cards = state["cards"]
+        view = lambda here: F.struct(here.alias("here"), *[near(cards, i, here, n).alias(n) for n in SPACING])
+
+        def worth(v: Column, there: Column, j: Column) -> Column:
+            mends = {n: ~v[n] | ~near(cards, i, there, n) for n in SPACING}
+            points = sum((F.when(mends[n], SPACING[n][1]).otherwise(0.0) + F.when(near(cards, j, v["here"], n), 0.0).otherwise(SPACING[n][2]) for n in SPACING), F.lit(0.0))
+            return F.when(mends["brand"] | mends["store"] | mends["category"], F.struct(points.alias("points"), (-j).alias("j")))
+
+        def mend(v: Column) -> Column:
+            options = F.transform(F.slice(cards, i + 2, F.size(cards)), lambda there, k: worth(v, there, i + 1 + k))
+            best = F.when(v["brand"] | v["store"] | v["category"], -F.array_max(options)["j"])
+            return let(best, lambda j: F.when(j.isNull(), state).otherwise(F.struct(_swapped(cards, i, j).alias("cards"), F.lit(True).alias("moved"))))
+
+        return let(F.get(cards, i), lambda here: let(view(here), mend))
 
+    def walk(state: Column, _: Column) -> Column:
+        fresh = F.struct(state["cards"].alias("cards"), F.lit(False).alias("moved"))
+        places = F.filter(F.sequence(F.lit(0), F.size(state["cards"]) - 1), lambda i: i > 0)
+        return F.when(state["moved"], F.aggregate(places, fresh, step)).otherwise(state)
 
-def _clashes(rows: list, i: int, r: dict) -> tuple:
-    near = lambda field, span: any(rows[j][field] == r[field] for j in range(max(0, i - span + 1), i))
-    return near("brand_id", 4), near("category", 3), near("dispensary_id", 3)
-
-
-def _space(rows: list) -> list:
-    """Up to ten passes that swap clashing neighbours with the later offer that repairs most."""
-    for _ in range(10):
-        moved = False
-        for i in range(1, len(rows)):
-            clash = _clashes(rows, i, rows[i])
-            if not any(clash):
-                continue
-            best, best_score = None, -1.0
-            for j in range(i + 1, len(rows)):
-                there = _clashes(rows, i, rows[j])
-                fixed = [not c or not t for c, t in zip(clash, there)]
-                after = _clashes(rows, j, rows[i])
-                score = 2 * fixed[0] + 2 * fixed[2] + fixed[1] + (not after[0]) + (not after[2]) + 0.5 * (not after[1])
-                if any(fixed) and score > best_score:
-                    best, best_score = j, score
-            if best is not None:
-                rows[i], rows[best] = rows[best], rows[i]
-                moved = True
-        if not moved:
-            break
-    return rows
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SPACING_ROUNDS)), F.struct(deck.alias("cards"), F.lit(True).alias("moved")), walk)["cards"]
 
 
 def spaced_feed(feed: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Opening quota 2/2/1/1/1 with different brands, then categories in turn, then spacing. At most 500 offers a group."""
+    """Opening quota 2/2/1/1/1 with different brands, then categories in turn, then spacing. At most 500 offers a group, as in `tier_shuffle`."""
     df = feed.filter(F.col("category").isin(ROUND_ORDER)).withColumn("brand_id", F.coalesce("brand", F.lit("Unknown")))
-    schema = T.StructType([*[T.StructField(g, df.schema[g].dataType) for g in group_cols], T.StructField("id", T.StringType()),
-                           T.StructField("position", T.LongType())])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["deal_score", "id"], ascending=[False, True]).to_dict("records")
-        pools = {c: [r for r in rows if r["category"] == c] for c in ROUND_ORDER}
-        opening, used, brands = [], set(), set()
-        for cat, n in FEED_QUOTAS.items():
-            got, own = [], set()
-            for rule in (lambda r: r["brand_id"] not in own and r["brand_id"] not in brands, lambda r: r["brand_id"] not in own, lambda r: True):
-                for r in pools[cat]:
-                    if len(got) < n and r["id"] not in used and rule(r):
-                        got.append(r)
-                        own.add(r["brand_id"])
-                        used.add(r["id"])
-            brands |= {r["brand_id"] for r in got}
-            opening += got
-        queues = [[r for r in pools[c] if r["id"] not in used] for c in ROUND_ORDER]
-        rest = [q[k] for k in range(max(map(len, queues), default=0)) for q in queues if k < len(q)]
-        deck = _space(opening + rest)
-        return pd.DataFrame({**{g: [k] * len(deck) for g, k in zip(group_cols, key)}, "id": [r["id"] for r in deck], "position": range(1, len(deck) + 1)})
-
-    return df.select(*group_cols, *[f for f in ("id", "category", "dispensary_id", "brand_id", "deal_score") if f not in group_cols]).groupBy(
-        *group_cols).applyInPandas(run, schema)
+    df = df.join(_openers(df, group_cols).select("id", "opening"), "id", "left")
+    rest = F.row_number().over(Window.partitionBy(*group_cols, "category", F.col("opening").isNull()).orderBy(F.desc("deal_score"), "id"))
+    kind = F.create_map(*[x for i, c in enumerate(ROUND_ORDER) for x in (F.lit(c), F.lit(i))])[F.col("category")]
+    place = F.when(F.col("opening").isNotNull(), F.struct(F.lit(0).alias("a"), F.col("opening").alias("b"), F.lit(0).alias("c"))).otherwise(
+        F.struct(F.lit(1).alias("a"), rest.alias("b"), kind.alias("c")))
+    item = F.struct(place.alias("place"), "id", F.col("brand_id").alias("brand"), F.coalesce("dispensary_id", F.lit("")).alias("store"), "category")
+    decks = df.withColumn("item", item).groupBy(*group_cols).agg(F.array_sort(F.collect_list("item")).alias("deck"))
+    spaced = decks.select(*group_cols, F.posexplode(_spaced(F.col("deck"))).alias("_at", "_x"))
+    return spaced.select(*group_cols, F.col("_x.id").alias("id"), (F.col("_at") + 1).cast("long").alias("position"))
 
 
 def featured_by_discount(deals: DataFrame, group_cols: list[str], n: int = 5) -> DataFrame:

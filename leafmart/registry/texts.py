@@ -267,6 +267,18 @@ register("label_brands", lambda s, d: b.label_brands(raw(s, d), terms(s, d), "id
 SELECT r.id, t.canonical AS labels FROM v_raw_listings r JOIN o_terms t ON t.is_var = 0 AND t.brand = t.canonical AND list_contains(string_split(lower(r.raw_text), CHR(10)), t.term)""")
 register("resolve_brand_category", lambda s, d: ls.parse_listings(raw(s, d), terms(s, d)).groupBy("brand", "category", "product_subtype").agg(F.count("*").alias("n")))
 register("parse_listings", lambda s, d: ls.parse_listings(raw(s, d), terms(s, d)).withColumn("run_date", day_text("run_date")).drop("raw_text"))
+
+def _unnamed(s, d):
+    """Offers without a brand, under their names up to the first dash or bar."""
+    return view(s, d, "products").withColumn("clean_name", F.replace("name", F.lit(" No"), F.lit(" - No")))
+
+
+_head = "substr(trim(regexp_split_to_array(replace(name, ' No', ' - No'), '\\s*[-|–—]\\s*')[1]), 1, 50)"
+register("unmatched_names", lambda s, d: ls.unmatched_candidates(_unnamed(s, d)), f"""
+SELECT name, COUNT(*) AS n_stores FROM (
+  SELECT dispensary_id, {_head} AS name, COUNT(*) AS n FROM v_products WHERE COALESCE(brand, '') = '' AND length({_head}) > 2 GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY dispensary_id ORDER BY COUNT(*) DESC, {_head}) <= 10) x
+GROUP BY name ORDER BY n_stores DESC, name LIMIT 20""")
 register("unmatched_candidates", lambda s, d: ls.unmatched_candidates(ls.parse_listings(raw(s, d), terms(s, d))))
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmart.operators import maintenance as m
+from leafmart.operators import stored
 from leafmart.registry import oracle as o
 from leafmart.registry.common import as_long, day_text, events, products, scored, view
 from leafmart.registry.common import PRODUCTS_AS_OF as NOW
 from leafmart.sources import sinks
+from leafmart.streaming.jobs import work_folder
 
 QUERIES, ORACLES = {}, {}
 TODAY = f"DATE '{NOW[:10]}'"
@@ -36,7 +38,7 @@ def _upsert(s, d):
     return as_long(out, "deal_score").withColumn("created", day_text("created"))
 
 
-register("upsert_products", _upsert, f"""
+_upsert_sql = f"""
 WITH a AS (SELECT *, run_date >= DATE '{SPLIT}' AS side FROM o_scored),
 n AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY dispensary_id, name, weight_value, sale_price ORDER BY side DESC, id DESC) = 1),
 f AS (SELECT dispensary_id, name, weight_value, sale_price, arg_min(run_date, (side, id)) AS created FROM a GROUP BY ALL),
@@ -45,7 +47,21 @@ SELECT n.dispensary_id, n.name, n.weight_value, n.sale_price, n.id, CAST(n.deal_
   strftime(COALESCE(arg0.c, b.new_created), '%Y-%m-%d') AS created
 FROM n JOIN b ON b.dispensary_id = n.dispensary_id AND b.name = n.name AND b.weight_value IS NOT DISTINCT FROM n.weight_value AND b.sale_price = n.sale_price
 LEFT JOIN (SELECT dispensary_id, name, weight_value, sale_price, arg_min(run_date, id) AS c FROM a WHERE NOT side GROUP BY ALL) arg0
-  ON arg0.dispensary_id = n.dispensary_id AND arg0.name = n.name AND arg0.weight_value IS NOT DISTINCT FROM n.weight_value AND arg0.sale_price = n.sale_price""")
+  ON arg0.dispensary_id = n.dispensary_id AND arg0.name = n.name AND arg0.weight_value IS NOT DISTINCT FROM n.weight_value AND arg0.sale_price = n.sale_price"""
+register("upsert_products", _upsert, _upsert_sql)
+
+
+def _upsert_buckets(s, d):
+    """The same table, stored by bucket; the second part touches its own buckets only."""
+    df = scored(s, d).select(*KEYS, "id", "deal_score", "is_active", F.to_date("scraped_at").alias("created"))
+    first, path = df.filter(F.col("created") < SPLIT), work_folder(s, "upsert")
+    stored.create_table(m.upsert(first.limit(0), first, KEYS, "id", keep=["created"]), path, KEYS, 16)
+    stored.upsert_buckets(path, df.filter(F.col("created") >= SPLIT), KEYS, "id", ["created"], 16)
+    return as_long(stored.read_table(s, path), "deal_score").withColumn("created", day_text("created"))
+
+
+register("upsert_by_bucket", _upsert_buckets, _upsert_sql)
+
 
 
 def _product_key(df):

@@ -11,7 +11,7 @@ from leafmart.operators import curation as cu
 from leafmart.operators import feed as f
 from leafmart.operators import listings as ls
 from leafmart.operators import maintenance as m
-from leafmart.operators import ranking
+from leafmart.operators import ranking, stored
 from leafmart.registry import offers  # noqa: F401  (its checking views are used below)
 from leafmart.registry import oracle as o
 from leafmart.registry.common import PRODUCTS_AS_OF as NOW
@@ -109,9 +109,17 @@ SELECT * FROM (SELECT * FROM o_scored WHERE is_active AND region = '{REGION}' AN
   AND (contains(lower(name), 'ring') OR contains(lower(COALESCE(brand, '')), 'ring') OR contains(category, 'ring') OR contains(COALESCE(product_subtype, ''), 'ring')
        OR contains(lower(COALESCE(strain_type, '')), 'ring')) ORDER BY deal_score DESC, id LIMIT 200) x
 WHERE length(name) >= 5 AND NOT regexp_matches(name, {o.q(L.SEARCH_JUNK_PATTERN)}, 'i') AND (regexp_matches(name, '\\bring', 'i') OR regexp_matches(COALESCE(brand, ''), '\\bring', 'i'))"""
-register("search", lambda s, d: f.search(scored(s, d), "ring", REGION, f.active_deals(scored(s, d), REGION, 50)).select("id"), f"""
+_search_sql = f"""
 SELECT id FROM o_found WHERE id NOT IN (SELECT id FROM o_scored WHERE is_active AND deal_score > 0 AND region = '{REGION}' ORDER BY deal_score DESC, id LIMIT 50)
-ORDER BY CASE WHEN original_price > sale_price THEN (original_price - sale_price) / original_price ELSE 0 END DESC, sale_price, id LIMIT 60""")
+ORDER BY CASE WHEN original_price > sale_price THEN (original_price - sale_price) / original_price ELSE 0 END DESC, sale_price, id LIMIT 60"""
+register("search", lambda s, d: f.search(scored(s, d), "ring", REGION, f.active_deals(scored(s, d), REGION, 50)).select("id"), _search_sql)
+def _indexed(s, d):
+    root = jobs.work_folder(s, "index")
+    stored.build_search_index(scored(s, d), root)
+    return stored.search_index(s, root, "ring", REGION, f.active_deals(scored(s, d), REGION, 50)).select("id")
+
+
+register("search_by_index", _indexed, _search_sql)
 register("search_junk_filter", lambda s, d: products(s, d).filter(~F.col("name").rlike("(?i)" + L.SEARCH_JUNK_PATTERN)).select("id"),
          f"SELECT id FROM v_products WHERE NOT regexp_matches(name, {o.q(L.SEARCH_JUNK_PATTERN)}, 'i')")
 register("curated_exclusion", lambda s, d: scored(s, d).filter("deal_score > 0").join(ranking.top_100_curated(scored(s, d)).select("id"), "id", "left_anti").groupBy("category").agg(F.count("*").alias("n")),
@@ -212,7 +220,35 @@ def _featured_sql(n: int = 5) -> str:
 
 register("featured_by_discount", lambda s, d: cu.featured_by_discount(live(s, d), ["region"]), _featured_sql())
 _unposted = lambda s, d: live(s, d).withColumn("is_posted", F.col("original_price") * 100 % 4 == 0)
-register("post_queue", lambda s, d: cu.post_queue(_unposted(s, d), ranking.top_n(live(s, d).filter("run_date = DATE '2001-07-31'"), ranking.SCORE_ORDER, 3), REGION))
+
+
+def _queue_sql(turns: int = 8) -> str:
+    """The queue one post after another; each turn starts one category further on."""
+    has = lambda *words: "(" + " OR ".join(f"contains(n, {o.q(w)})" for w in words) + ")"
+    gram = f"((un = 'g' AND w BETWEEN 0.9 AND 1.1) OR {has('1g', '1 g')})"
+    fits = f"""CASE category WHEN 'vape' THEN (contains(sub, 'disposable') OR {has('disposable', 'dispo', 'all-in-one', 'aio')}) AND {gram}
+      WHEN 'flower' THEN CASE WHEN un IN ('g', 'oz') THEN w BETWEEN 3.4 AND 3.6 OR w BETWEEN 6.9 AND 7.1 OR {has('3.5g', '3.5 g', 'eighth', '1/8', '7g', '7 g', 'quarter', '1/4')}
+        ELSE {has('3.5g', '3.5 g', '7g', '7 g', 'eighth', 'quarter')} END
+      WHEN 'edible' THEN (un = 'mg' AND w >= 100) OR {has('100mg', '200mg', '250mg', '300mg', '500mg')}
+      WHEN 'concentrate' THEN (contains(sub, 'live') OR contains(sub, 'rosin') OR contains(sub, 'badder') OR {has('live resin', 'live rosin', 'badder')}) AND {gram}
+      WHEN 'preroll' THEN COALESCE(TRY_CAST(NULLIF(regexp_extract(name, '([0-9]+)\\s*(?:pk|pack|ct|count)', 1, 'i'), '') AS INT), 1) <= 2 ELSE false END"""
+    ctes = [
+        f"""u AS (SELECT id, category, deal_score AS score, lower(trim(COALESCE(brand, 'unknown'))) AS b FROM (
+      SELECT *, lower(COALESCE(name, '')) AS n, lower(COALESCE(product_subtype, '')) AS sub, lower(COALESCE(weight_unit, '')) AS un, COALESCE(weight_value, 0) AS w FROM o_live
+      WHERE original_price * 100 % 4 <> 0 AND deal_score >= 50 ORDER BY deal_score DESC, id LIMIT 200) x
+    WHERE region = '{REGION}' AND COALESCE(sale_price, original_price) <= 35 AND COALESCE(sale_price, original_price) > 0 AND {fits})""",
+        "td AS (SELECT COUNT(*) AS n, list(DISTINCT lower(trim(brand))) AS used FROM (SELECT * FROM o_live WHERE run_date = DATE '2001-07-31' ORDER BY deal_score DESC, id LIMIT 3) x)",
+        f"tu AS (SELECT list(c ORDER BY k) AS cats FROM (VALUES {', '.join(f'({k}, {o.q(c)})' for k, c in enumerate(cu.POST_BUCKETS))}) t(k, c) WHERE c IN (SELECT category FROM u))",
+        "p0 AS (SELECT CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS bs)"]
+    for k in range(turns):
+        wait = f"((list_position(tu.cats, u.category) - 1 - {k}) % len(tu.cats) + len(tu.cats)) % len(tu.cats)"
+        ctes.append(f"""q{k} AS (SELECT arg_min({{'i': u.id, 'b': u.b}}, ({wait}, -u.score, u.id)) AS x FROM u, td, tu, p{k} p
+  WHERE {k} < {turns} - td.n AND NOT COALESCE(list_contains(td.used, u.b), false) AND NOT list_contains(p.bs, u.b))""")
+        ctes.append(f"p{k + 1} AS (SELECT CASE WHEN x IS NULL THEN ids ELSE list_append(ids, x.i) END AS ids, CASE WHEN x IS NULL THEN bs ELSE list_append(bs, x.b) END AS bs FROM p{k}, q{k})")
+    return f"WITH {', '.join(ctes)} SELECT unnest(ids) AS id, CAST(unnest(range(1, len(ids) + 1)) AS BIGINT) AS position FROM p{turns}"
+
+
+register("post_queue", lambda s, d: cu.post_queue(_unposted(s, d), ranking.top_n(live(s, d).filter("run_date = DATE '2001-07-31'"), ranking.SCORE_ORDER, 3), REGION), _queue_sql())
 
 # --- streaming --------------------------------------------------------------------------------------------
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -14,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmart.llm.common import bounded_batches, staged, utf8, work_folder
+from leafmart.llm.common import NONSPACE, Shard, SpanHash, bounded_batches, shards, staged, utf8, words, work_folder
 
 #: Words whose ids a worker remembers; the older half goes when it is full.
 REMEMBERED = 300_000
+#: Bytes of text whose words are told apart at once.
+WORD_BYTES = 4 << 20
 FILES = "doc_id long, part int, at long, n_tokens long, control binary, data binary"
 
 _coders: dict[int, WordCoder] = {}
@@ -25,7 +26,6 @@ _coders: dict[int, WordCoder] = {}
 
 #: Letters with signs behind them, which are pieces of their own. No apostrophe: it may begin a piece with letters.
 SIGNS = b"!#$%&*,.:;?"
-SIGNS_BEHIND = re.compile(rb"([A-Za-z\x80-\xff]+)([!#$%&*,.:;?]+)")
 
 
 def lower_letters(word: str) -> str | None:
@@ -37,6 +37,14 @@ def lower_letters(word: str) -> str | None:
     return low if word.isalpha() and low.isalpha() and "\u03a3" not in word else None
 
 
+def lower_bytes(word: bytes) -> bytes | None:
+    """`lower_letters` of a word in UTF-8."""
+    if word.isascii():
+        return word.lower() if word.isalpha() else None
+    low = lower_letters(word.decode("utf-8", "replace"))
+    return low.encode() if low else None
+
+
 class WordCoder:
     """Ids of texts by a tokenizer whose pieces never span white space, from remembered words.
 
@@ -57,45 +65,81 @@ class WordCoder:
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """Ids of each text, then the end id."""
-        split = [t.split() for t in texts]
+        return self.encode_column(pa.array(texts, pa.binary()), end)
+
+    def encode_column(self, column: pa.Array, end: bytes) -> list[bytes]:
+        return list(chain.from_iterable(self.encode_shard(shard, end) for shard in shards(column, WORD_BYTES)))
+
+    def encode_shard(self, shard: Shard, end: bytes) -> list[bytes]:
+        """Words of some documents are told apart by a hash, looked up once each, and their ids put in the place of each word.
+        A second hash finds out where two words share the first; then they are told apart by their bytes."""
+        first, last = words(shard.data, NONSPACE)
+        raw = shard.data.tobytes()
+        _, head, of = np.unique(SpanHash.of_bytes(shard.data).of(first, last), return_index=True, return_inverse=True)
+        check = SpanHash.of_bytes(shard.data, 1).of(first, last)
+        if (check[head][of] != check).any():
+            known: dict[bytes, int] = {}
+            of = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.int64)
+            head = np.unique(of, return_index=True)[1]
+        ids = self.ids_of([raw[a:b] for a, b in zip(first[head].tolist(), last[head].tolist(), strict=True)])
+        size = np.dtype(self.kind).itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        count = sizes[of]
+        at = np.concatenate(([0], np.cumsum(count)))
+        every = np.frombuffer(b"".join(ids), self.kind)[np.arange(at[-1]) + np.repeat((np.cumsum(sizes) - sizes)[of] - at[:-1], count)].tobytes()
+        edges = (at[np.searchsorted(first, np.append(shard.starts, len(shard.data)))] * size).tolist()
+        return [every[a:b] + end for a, b in zip(edges, edges[1:], strict=False)]
+
+    def ids_of(self, names: list[bytes]) -> list[bytes]:
+        """Ids of distinct words. Words of letters are remembered in lower case, whatever their case was, and without the signs
+        behind them, which are pieces of their own; unseen ones are encoded."""
         young = self.young
-        fresh, ended = [], []
-        for w in self.recall(set(chain.from_iterable(split))):
-            m = self.letters and w[-1] in SIGNS and SIGNS_BEHIND.fullmatch(w)
-            ended.append((w, *m.groups())) if m and lower_letters(m[1].decode("utf-8", "replace")) else fresh.append(w)
-        fresh += self.recall({part for _, *parts in ended for part in parts}.difference(fresh))
+        keys, tails = [], []
+        for w in names:
+            key, tail = w, b""
+            if self.letters:
+                if w.isalpha():
+                    key = w.lower()
+                else:
+                    core = w.rstrip(SIGNS)
+                    if core and (low := lower_bytes(core)):
+                        key, tail = low, w[len(core) :]
+            keys.append(key)
+            tails.append(tail)
+        fresh = self.recall(set(keys).union(t for t in set(tails) if t))
         for a in range(0, len(fresh), 1000):
             some = fresh[a : a + 1000]
-            young.update(zip(some, self.encode_words([w.decode("utf-8", "replace") for w in some]), strict=True))
-        young.update((w, young[core] + young[signs]) for w, core, signs in ended)
-        out = [b"".join(map(young.__getitem__, words)) + end for words in split]
+            young.update(zip(some, self.encode_words(some), strict=True))
+        out = [young[k] + young[t] if t else young[k] for k, t in zip(keys, tails, strict=True)]
         if len(young) > REMEMBERED:
             self.old, self.young = young, {}
         return out
 
-    def recall(self, some: set[bytes]) -> list[bytes]:
+    def recall(self, some: Iterable[bytes]) -> list[bytes]:
         """Words that are not remembered; those of the older half are young again."""
         unseen = []
-        for w in some.difference(self.young):
+        for w in some:
+            if w in self.young:
+                continue
             if w in self.old:
                 self.young[w] = self.old[w]
             else:
                 unseen.append(w)
         return unseen
 
-    def encode_words(self, some: list[str]) -> list[bytes]:
+    def encode_words(self, some: list[bytes]) -> list[bytes]:
         """Words of letters alone are one piece each; many of them go through the merges in one text, parted at the ends of
         pieces. All others go through the whole tokenizer one by one."""
         out = dict.fromkeys(range(len(some)), b"")
-        plain, words = [], []
+        plain, lower = [], []
         if self.letters:
             for i, w in enumerate(some):
-                if low := lower_letters(w):
+                if low := lower_bytes(w):
                     plain.append(i)
-                    words.append(low)
+                    lower.append(low)
         ids = np.zeros(0, np.int64)
         if plain:
-            text = " ".join(words).encode().decode("latin-1").translate(BYTE_LETTERS)
+            text = BYTE_LETTERS[np.frombuffer(b" ".join(lower), np.uint8)].tobytes().decode("utf-16-le")
             ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.word_end[ids]) + 1
         if len(ends) != len(plain) or (len(ends) and ends[-1] != len(ids)):
@@ -105,13 +149,15 @@ class WordCoder:
             out[i] = raw[at * size : e * size]
             at = e
         rest = sorted(out.keys() - set(plain))
-        for i, e in zip(rest, self.coder.encode_batch_fast([some[i] for i in rest], add_special_tokens=False), strict=True):
+        for i, e in zip(rest, self.coder.encode_batch_fast([some[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, self.kind).tobytes()
         return [out[i] for i in range(len(some))]
 
 
 #: Letters that byte-level pieces are written in: printable bytes stand for themselves, the others are moved up. Not the blank.
-BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)) if b != 32}
+BYTE_LETTERS = np.arange(256, dtype="<u2")
+for _k, _b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)):
+    BYTE_LETTERS[_b] = _b if _b == 32 else 256 + _k
 
 
 def letters_coder(definition: str):
@@ -181,13 +227,7 @@ def encode_documents(docs: DataFrame, definition: str, end_id: int, kind: str =
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = word_coder(shared.value, kind)
         for column in columns:
-            data, offsets = utf8(column)
-            raw = data.tobytes()
-            out: list[bytes] = []
-            for a in range(0, len(column), 500):
-                b = min(a + 500, len(column))
-                out += coder.encode([raw[offsets[i] : offsets[i + 1]] for i in range(a, b)], end)
-            yield pa.array(out, pa.binary())
+            yield pa.array(coder.encode_column(column, end), pa.binary())
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), encode("text").alias("ids"))
 

@@ -22,14 +22,14 @@ LEVEL = 6
 #: Least saving of the best over the second best dictionary, as a share of the second size.
 MARGIN = 0.005
 
-LETTER = re.compile(r"[^\W\d_]")
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def learn_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """Raw-content dictionaries of a table (doc_id, text, lang).
 
-    A bounded sample: SAMPLE_ROWS documents a language with the smallest hash of their id. Null languages and texts teach
+    A bounded sample: SAMPLE_ROWS documents a language with the smallest hash of their id, and of each the first SAMPLE_CHARS
+    characters. Null languages and texts teach
     nothing; repeated rows count as often as they are drawn. Keys are drawn from narrow columns, then texts are fetched by id.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -48,6 +48,11 @@ def learn_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     return {lang: b"\n".join(normal(t) for t in reversed(found))[-DICTIONARY_BYTES:] for lang, found in sorted(texts.items())}
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter of any script; numbers such as one half or a superscript two are none."""
+    return any(map(str.isalpha, text))
+
+
 def normal(text: str) -> bytes:
     """All letters in lower case, one space for all between them: signs and digits say nothing of a language."""
     return NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
@@ -64,7 +69,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, certainty from 0 to 1, and whether the margin is too narrow."""
-        if text is None or not self.langs or not LETTER.search(text):
+        if text is None or not self.langs or not has_letter(text):
             return "und", 0.0, True
         data = normal(text)
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]

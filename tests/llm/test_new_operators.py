@@ -261,3 +261,36 @@ def test_new_queries_on_the_given_tables(spark, name):
     if name == "op13_spelling_variants":
         docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
         assert {r["word"]: r["n"] for r in rows} == plain_vocabulary([tuple(r) for r in docs])
+
+
+# --- language --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text,letters", [("½ ²", False), ("① ٣ 12", False), ("", False), ("_", False), ("½ a", True), ("日", True), ("ª", True)])
+def test_what_counts_as_a_letter(text, letters):
+    from leafmart.llm import language
+
+    model = language.Classifier({"en": b"the of and to in is", "de": b"der die das und ist"})
+    lang, score, rejected = model.predict(text)
+    assert (lang != "und") == letters and (letters or (score, rejected) == (0.0, True))
+
+
+def test_smallest_encoding_is_chosen():
+    """The choice against plain compression of the same blocks, one dictionary after another."""
+    import zstandard
+
+    from leafmart.llm import language
+
+    rng = random.Random(6)
+    held = {lang: language.normal(" ".join(corpus.prose(rng, lang, 300) for _ in range(20))) for lang in ("de", "en", "fr")}
+    model = language.Classifier(held)
+    for i in range(60):
+        text = corpus.prose(rng, ["en", "fr", "de"][i % 3], rng.choice([3, 20, 150, 2500]))
+        data, sizes = language.normal(text), {}
+        for lang, raw in held.items():
+            shared = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=shared, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(coder.compress(data[a : a + language.BLOCK_BYTES])) for a in range(0, len(data), language.BLOCK_BYTES))
+        best, second = sorted(sizes.items(), key=lambda x: (x[1], x[0]))[:2]
+        lang, score, rejected = model.predict(text)
+        assert lang == best[0] and rejected == ((second[1] - best[1]) / second[1] < language.MARGIN) and 0.5 <= score <= 1

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafmart import lookups as L
 from leafmart.functions import text as t
 from leafmart.operators.catalog import not_blocked
+from leafmart.operators.listings import normalize_deal
 from leafmart.operators.ranking import SCORE_ORDER, cap_per_brand, cap_per_chain, top_n
 from leafmart.session import cut_lineage
 
@@ -66,6 +67,31 @@ def filter_deals(deals: DataFrame, categories: list[str] | None = None, stores:
     return out
 
 
+SHOP_CATEGORIES = ["flower", "preroll", "vape", "edible", "concentrate"]
+
+
+def shop_rows(products: DataFrame, categories: list[str] | None = None, stores: list[str] | None = None, brand: str | None = None,
+              min_price: float | None = None, max_price: float | None = None, min_discount: float | None = None, query: str | None = None,
+              sizes: list[str] | None = None, mode: str = "and", ids: list[str] | None = None) -> DataFrame:
+    """Shop rows of stored listings behind the filters of `filter_deals` and `weight_filter`.
+
+    What can be told from stored columns is asked of the scan, before rows are repaired by `normalize_deal`; only the
+    query (it may hit the weight text) and sizes are tested after. A category that the shop does not know counts as flower.
+    """
+    base = products
+    if categories:
+        wanted = F.col("category").isin(categories)
+        if "flower" in categories:
+            wanted = wanted | F.col("category").isNull() | ~F.col("category").isin(SHOP_CATEGORIES)
+        base = base.filter(wanted)
+    if ids is not None:
+        base = base.filter(F.col("id").isin(ids))
+    base = filter_deals(base, None, stores, brand, min_price, max_price, min_discount)
+    if sizes == ["disposable"] or (sizes and "disposable" in sizes and mode == "and"):
+        base = base.filter(F.col("product_subtype") == "disposable")
+    return weight_filter(filter_deals(normalize_deal(base), categories, query=query), sizes or [], mode)
+
+
 def grams(weight: Column) -> Column:
     """Grams of a weight text: fractions of an ounce, milligrams, ounces, then bare numbers."""
     w = F.lower(F.trim(weight))

@@ -144,7 +144,29 @@ register("clean_name", lambda s, d: t.with_clean_name(raw(s, d), "name", "clean"
 _offer = t.OFFER_PATTERN
 o.EXTRA["o_offer_free"] = f"SELECT *, trim(regexp_replace(raw_text, {rx(_offer)}, '', 'g')) AS offer_free FROM o_clean"
 register("strip_offer_text", lambda s, d: raw(s, d).select("id", t.strip_offer_text(F.col("raw_text")).alias("rest")), "SELECT id, offer_free AS rest FROM o_offer_free")
-register("display_name", lambda s, d: t.with_display_name(raw(s, d).withColumn("b", F.col("scraped_brand")), "name", "b", "scraped_category", "raw_text", "display").select("id", "display"))
+o.EXTRA["o_dn1"] = f"SELECT *, trim({strip_sql('name', [t.WEIGHT_PREFIX])}) AS d1 FROM v_raw_listings"
+o.EXTRA["o_dn2"] = r"""SELECT *, CASE WHEN COALESCE(scraped_brand, '') <> '' AND d1 <> ''
+  THEN trim(regexp_replace(d1, '\b(?:' || regexp_escape(scraped_brand) || ')\b\s*[-:|]?\s*', '', 'gi')) ELSE d1 END AS d3 FROM o_dn1"""
+
+
+def _display_sql() -> str:
+    """The steps one inside the other, from the brand-free name on."""
+    x = "CASE WHEN d3 <> '' THEN d3 WHEN name <> '' THEN name ELSE 'Unknown' END"
+    for p in (t.STRAIN_WORD, t.BUNDLE_QTY):
+        x = f"trim({strip_sql(x, [p])})"
+    o.EXTRA["o_dn3"] = f"SELECT *, {x} AS d4 FROM o_dn2"
+    words = " ".join(f"WHEN {o.q(k)} THEN {strip_sql('d4', [p])}" for k, p in t.CATEGORY_WORDS.items())
+    o.EXTRA["o_dn4"] = f"SELECT *, trim(CASE scraped_category {words} ELSE d4 END) AS d5 FROM o_dn3"
+    x = "d5"
+    for p in t.DISPLAY_STRIPS:
+        x = f"trim({strip_sql(x, [p])})"
+    x = f"trim({strip_sql(f'trim({strip_sql(x, t.DISPLAY_PARENS)})', [t.RATIO])})"
+    for p in (r"\s*\(?\s*[ISH]\s*/\s*[ISH]\s*\)?\s*", r"\s*\(\s*\)\s*", r"\s{2,}"):
+        x = f"trim(regexp_replace({x}, {rx(p)}, ' ', 'g'))"
+    return f"SELECT id, CASE WHEN d6 <> '' THEN d6 WHEN name <> '' THEN name ELSE 'Unknown' END AS display FROM (SELECT *, trim({x}, ' -–—|/') AS d6 FROM o_dn4) z"
+
+
+register("display_name", lambda s, d: t.with_display_name(raw(s, d).withColumn("b", F.col("scraped_brand")), "name", "b", "scraped_category", "raw_text", "display").select("id", "display"), _display_sql())
 
 
 def classify_sql(n: str, brand: str, c: str, w: str) -> str:

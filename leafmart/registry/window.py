@@ -54,12 +54,16 @@ def windowed(s, d):
 
 o.EXTRA["o_shop"] = """SELECT *, CASE WHEN weight_value IS NULL THEN '' WHEN weight_value = floor(weight_value) THEN CAST(CAST(weight_value AS BIGINT) AS VARCHAR) || weight_unit
   ELSE CAST(weight_value AS VARCHAR) || weight_unit END AS weight FROM v_products"""
-register("filter_deals", lambda s, d: f.filter_deals(windowed(s, d), categories=["vape", "edible"], min_price=5, max_price=40, min_discount=30, query="ring").select("id"), """
+_filtered = """
 SELECT id FROM o_shop WHERE category IN ('vape','edible') AND sale_price BETWEEN 5 AND 40 AND (original_price - sale_price) / original_price * 100 >= 30
-  AND (regexp_matches(name, '\\bring\\b', 'i') OR regexp_matches(COALESCE(brand, ''), '\\bring\\b', 'i') OR regexp_matches(dispensary_name, '\\bring\\b', 'i') OR contains(weight, 'ring'))""")
+  AND (regexp_matches(name, '\\bring\\b', 'i') OR regexp_matches(COALESCE(brand, ''), '\\bring\\b', 'i') OR regexp_matches(dispensary_name, '\\bring\\b', 'i') OR contains(weight, 'ring'))"""
+register("filter_deals", lambda s, d: f.filter_deals(windowed(s, d), categories=["vape", "edible"], min_price=5, max_price=40, min_discount=30, query="ring").select("id"), _filtered)
+register("shop_rows", lambda s, d: f.shop_rows(products(s, d), categories=["vape", "edible"], min_price=5, max_price=40, min_discount=30, query="ring").select("id"), _filtered)
 _one_gram = "(weight = '1g' OR (weight_unit = 'g' AND abs(weight_value - 1) < 0.005) OR (weight_unit = 'mg' AND abs(weight_value / 1000 - 1) < 0.005))"
 register("weight_filter_feed", lambda s, d: f.weight_filter(windowed(s, d), ["disposable", "1g"], "and").select("id"),
          f"SELECT id FROM o_shop WHERE product_subtype = 'disposable' AND {_one_gram}")
+register("shop_rows_by_size", lambda s, d: f.shop_rows(products(s, d), sizes=["disposable", "1g"]).select("id"),
+         f"SELECT id FROM o_shop WHERE product_subtype = 'disposable' AND {_one_gram}")
 register("weight_filter_search", lambda s, d: f.weight_filter(windowed(s, d), ["disposable", "1/8"], "or").select("id"),
          "SELECT id FROM o_shop WHERE COALESCE(product_subtype, '') = 'disposable' OR abs(CASE weight_unit WHEN 'mg' THEN weight_value / 1000 ELSE weight_value END - 3.5) < 0.005")
 LAT, LNG = 36.1716, -115.1391

@@ -41,3 +41,14 @@ def test_index_gives_the_same_rows_from_fewer_blocks(spark, tmp_path):
     assert stored.pruned_offers(spark, root, "qqq", 8).count() == 0
     plan = stored.pruned_offers(spark, root, "zanzibar", 8)._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "_block" in plan.split("PartitionFilters:")[1][:80]
+
+
+def test_shop_filters_reach_the_scan(spark, tmp_path):
+    rows = [(f"p{i}", f"shop{i % 3}", f"Acme - ring {i} 1g", "Acme", ["vape", "weird", None, "edible"][i % 4], None, "x", 1.0, "g", 5.0 + i, 50.0, 60.0) for i in range(40)]
+    schema = "id string, dispensary_id string, name string, brand string, category string, product_subtype string, dispensary_name string, weight_value double, weight_unit string, sale_price double, original_price double, discount_percent double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "p"))
+    stored_rows = spark.read.parquet(str(tmp_path / "p"))
+    got = feed.shop_rows(stored_rows, ["flower"], ["shop1"], max_price=30.0, query="ring")
+    assert {r["id"] for r in got.collect()} == {r[0] for r in rows if r[1] == "shop1" and r[9] <= 30 and r[4] in ("weird", None)}
+    pushed = got._jdf.queryExecution().toString().split("PushedFilters: [")[1].split("]")[0]
+    assert "dispensary_id" in pushed and "LessThanOrEqual(sale_price,30.0)" in pushed and "category" in pushed

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leafmart import bridge
 from leafmart.operators import catalog, engagement, listings, selection
+from leafmart.operators import runs as run_rows
 from leafmart.plans import daily
 from leafmart.registry import texts
 
@@ -30,7 +31,8 @@ def test_weekly_enrichment_and_dashboard(spark):
     week = daily.weekly_enrichment(products, "2001-08-01")
     kinds = {r["snapshot_type"] for r in week["snapshots"].select("snapshot_type").distinct().collect()}
     assert kinds == {"price_distribution", "brand_pricing"} and week["caps"].count() > 0 and week["cross_region"].columns[0] == "brand"
-    events, runs = bridge.view(spark, SF, "analytics_events"), bridge.view(spark, SF, "scrape_runs")
+    events = bridge.view(spark, SF, "analytics_events")
+    runs = run_rows.runs_with_sites(bridge.view(spark, SF, "scrape_runs"), bridge.view(spark, SF, "run_sites"))
     from leafmart.registry.common import EVENTS_AS_OF, scored
 
     board = daily.dashboard(events, scored(spark, SF), runs, EVENTS_AS_OF)

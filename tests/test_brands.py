@@ -93,3 +93,16 @@ def test_learning_again_changes_nothing(spark):
     more = daily.unionByName(spark.createDataFrame([("r9", ["Mellow Fieldsss"] * 12)], "region string, names array<string>").withColumn("run_date", F.to_date(F.lit("2024-01-29"))))
     third = {r["name"]: r["observation_count"] for r in b.learn_brands(more, known, judged, "2024-01-30", 30, 10).collect()}
     assert "Mellow Fieldsss" not in third and third["Mellow Feilds"] == {r["name"]: r["observation_count"] for r in judged.collect()}["Mellow Feilds"] + 12
+
+
+def test_brand_of_a_listing_in_the_row_and_by_join(spark, monkeypatch):
+    rows = [("1", "Kiva", "", "x", "x"), ("2", "", "raw garden cart", "raw garden cart", "raw garden cart 1g"), ("3", None, None, "purple haze", "purple haze by STIIIZY"),
+            ("4", "none Kiva", "/product/kiva-bar-10", "bar", None), ("5", "", "", "", "")]
+    cards = spark.createDataFrame(rows, "id string, scraped_brand string, product_url string, name string, card string").withColumn("raw_text", F.col("card"))
+    known = terms(spark).localCheckpoint()
+    one = b.resolve_brand(cards, known)
+    assert "_src" not in one._jdf.queryExecution().toString()  # no row a text, no join back
+    found = {r["id"]: r["brand"] for r in one.collect()}
+    monkeypatch.setattr(b, "TRIE_TERMS", 0)
+    assert found == {r["id"]: r["brand"] for r in b.resolve_brand(cards, known).collect()}
+    assert found["1"] == "Kiva" and found["2"] == "RG" and found["3"] == "STIIIZY" and found["5"] is None

@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,29 @@ def test_brand_of_a_listing_in_the_row_and_by_join(spark, monkeypatch):
     monkeypatch.setattr(b, "TRIE_TERMS", 0)
     assert found == {r["id"]: r["brand"] for r in b.resolve_brand(cards, known).collect()}
     assert found["1"] == "Kiva" and found["2"] == "RG" and found["3"] == "STIIIZY" and found["5"] is None
+
+
+def test_ratio_of_many_pairs_is_that_of_the_matcher():
+    """Equal runs, repeated letters, empty and long names (the matcher leaves out frequent letters of long ones)."""
+    random.seed(11)
+    word = lambda: "".join(random.choice("abé \U0001F33F") for _ in range(random.randint(0, 13)))
+    left, right = [word() for _ in range(3000)] + ["ab" * 60, "abc" * 90], [word() for _ in range(3000)] + ["ba" * 80, "cab" * 90]
+    assert list(b.ratios(pd.Series(left), pd.Series(right))) == [SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right, strict=True)]
+
+
+def test_short_names_meet_by_what_is_left_of_them(spark):
+    """4,000 names of few syllables share pairs of characters with hundreds of others; only those within the ratio are candidates."""
+    random.seed(5)
+    names = sorted({"".join(random.choice(["en", "st", "th", "er", "tion", "ch", "ou"]) for _ in range(4)) for _ in range(4000)})
+    frame = spark.createDataFrame([(n,) for n in names], "a string")
+    pairs = b.candidate_pairs(frame, frame.withColumnRenamed("a", "b"), 0.80)
+    got = pairs.count()
+    good = b.similar_pairs(frame, frame.withColumnRenamed("a", "b"), 0.80).count()
+    assert good <= got <= 2 * good
+
+
+def test_chain_of_similar_names_alternates(spark):
+    """A name that resembles only one that does not lead is a leader again, and a name alone leads itself."""
+    names = ["abcdefghij", "abcdefghi", "abcdefgh", "abcdefg", "abcdef", "abcde", "zzzz"]
+    got = {r["name"]: r["leader"] for r in b.leader_clusters(spark.createDataFrame([(n,) for n in names], "name string"), 0.94).collect()}
+    assert got == {"abcdefghij": "abcdefghij", "abcdefghi": "abcdefghij", "abcdefgh": "abcdefgh", "abcdefg": "abcdefg", "abcdef": "abcdef", "abcde": "abcde", "zzzz": "zzzz"}

@@ -1,5 +1,6 @@
 """Guarantees of the selection in a large region, and the order of the shop window."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leafmart.operators import curation, selection
@@ -58,3 +59,28 @@ def test_spacing_of_four_cards(spark):
             ("5", "s5", "n", "d", "concentrate", None, 1.0, 50, 1.0, 2.0, 50.0, "r")]
     out = [r["id"] for r in curation.spaced_feed(spark.createDataFrame(rows, SCHEMA), ["region"]).orderBy("position").collect()]
     assert out[0] == "1" and out.index("2") == 4
+
+
+def test_choice_counts_what_is_taken_instead_of_looking_through_it():
+    """20,000 offers of one bucket, brand cap met early: each offer costs a few look-ups in each of the three steps."""
+
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, i):
+            Counted.reads += 1
+            return super().__getitem__(i)
+
+    n = 20_000
+    items = {"bucket": Counted([0] * n), "tier": Counted(["t"] * n), "maker": Counted([f"m{i % 25}" for i in range(n)]),
+             "store": Counted([f"s{i % 400}" for i in range(n)]), "key": Counted([f"k{i // 2}" for i in range(n)])}
+    picks = selection.fill_slots([], items, [200], 7, 4, 18)
+    assert len(picks) == 100 and len({items["key"][i] for i in picks}) == 100  # 25 brands, four of a bucket each
+    assert Counted.reads < 3 * 5 * n + 1_000
+
+
+def test_short_lists_are_read_together_and_stay_apart(monkeypatch):
+    monkeypatch.setattr(selection, "SPAN", 4)
+    rows = [[{"a": i, "b": str(i)} for i in range(k)] for k in (1, 0, 9, 2, 2, 3, 0)]
+    lists = pa.array([[], *rows], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.string())]))).slice(1)
+    assert list(selection.groups_of(lists, ("a", "b"))) == [{"a": [x["a"] for x in r], "b": [x["b"] for x in r]} for r in rows]

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ["top_cut", "best_cut_per_store", "curated_exclusion", "daily_metrics", "top_100_curated"])
 def test_scores_are_not_repeated_by_each_step(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    assert "lineitem" not in plan and "rlike" not in plan.lower()
+    assert "p_brand" not in plan and "rlike" not in plan.lower()
 
 
 def test_words_are_found_as_by_a_plain_search():
@@ -37,3 +37,23 @@ def test_names_that_repeat_or_promise(spark):
         relaxed = len(bare) >= 5 and not (len(words) == 2 and words[0] == words[1])
         assert r.relaxed_ok == relaxed, r.name
         assert r.strict_ok == (relaxed and not re.search("(?i)" + L.PROMO_NAME_PATTERN, r.name or "")), r.name
+
+
+def test_stored_steps_of_the_selection_hold_what_is_read(spark):
+    plan = registry.queries()["detect_deals"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "dispensary_name" not in plan and "strain_type" not in plan and "l_partkey" not in plan
+
+
+@pytest.mark.parametrize(("name", "step", "at"), [("upsert_by_bucket", "upsert_buckets", 1), ("search_by_index", "search_index", 4)])
+def test_stored_offers_are_not_scored_again(spark, monkeypatch, name, step, at):
+    from leafmart.operators import stored
+
+    plans, whole = [], getattr(stored, step)
+
+    def watched(*args):
+        plans.append(args[at]._jdf.queryExecution().optimizedPlan().toString())
+        return whole(*args)
+
+    monkeypatch.setattr(stored, step, watched)
+    registry.queries()[name](spark, SF)
+    assert plans and "p_brand" not in plans[0]  # a column of the tables below the offers

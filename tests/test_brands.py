@@ -70,6 +70,20 @@ def test_similar_head_is_the_last_resort(spark):
     assert got == {1: ("STIIIZY", 0), 2: ("RG", 0), 3: ("Kiva", 4)}
 
 
+def test_texts_are_read_once_for_similar_heads(spark):
+    """Known names, similar heads and the names to compare come from one pass over the texts."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        reads.add(1)
+        return text
+
+    texts = spark.createDataFrame([(i, f"Stiizy - pod {i}") for i in range(40)] + [(90, "Kiva bar")], "id long, text string").withColumn("text", counted.asNondeterministic()("text"))
+    got = b.detect_brands(texts, terms(spark), ["id"], similar=True).collect()
+    assert len(got) == 41 and reads.value == 41
+
+
 def test_approved_candidates_become_brands(spark):
     candidates = spark.createDataFrame([("Green Hum", "approved", None), ("green hum", "approved", ""), ("kiva", "approved", None), ("Blue Hum", "pending", None), ("Rd Hum", "approved", "Red Hum")], "name string, status string, canonical_name string")
     known = terms(spark, candidates=candidates)

@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from leafmart.operators import curation, selection
+from leafmart.operators import curation, ranking, selection
 
 SCHEMA = ("id string, dispensary_id string, name string, brand string, category string, product_subtype string, weight_value double, deal_score int, "
           "sale_price double, original_price double, discount_percent double, region string")
@@ -84,3 +84,19 @@ def test_short_lists_are_read_together_and_stay_apart(monkeypatch):
     rows = [[{"a": i, "b": str(i)} for i in range(k)] for k in (1, 0, 9, 2, 2, 3, 0)]
     lists = pa.array([[], *rows], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.string())]))).slice(1)
     assert list(selection.groups_of(lists, ("a", "b"))) == [{"a": [x["a"] for x in r], "b": [x["b"] for x in r]} for r in rows]
+
+
+def test_forced_picks_read_the_offers_twice(spark):
+    """The best offer of each category is found once, although two steps use it."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        reads.add(1)
+        return name
+
+    rows = offers("oasis", 20) + offers("oasis", 10, "edible", 100.0, 80)
+    known = spark.createDataFrame(rows, SCHEMA).withColumn("name", counted.asNondeterministic()("name"))
+    needed = spark.createDataFrame([("oasis", 4)], "dispensary_id string, n_needed int")
+    got = ranking.guaranteed_picks(known, ["dispensary_id"], needed).collect()
+    assert len(got) == 4 and {r["category"] for r in got} == {"flower", "edible"} and reads.value <= 2 * len(rows)

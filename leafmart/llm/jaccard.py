@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmart.llm.common import LOWER, NONSPACE, SpanHash, bounded_batches, mix, shards, staged, words
+from leafmart.llm.common import LOWER, NONSPACE, SMALL_BATCH_BYTES, SpanHash, bounded_batches, mix, shards, staged, words
 from leafmart.llm.components import components
 
 SHINGLE = 5
@@ -22,6 +22,8 @@ BAND, DELETIONS = 4, 64
 ORDERS = 8
 #: Size of the bit table of the elements of hollow sets, as a power of two.
 HOLLOW_BITS = 22
+#: Bytes of text whose sets are made in one numpy step; a step holds some 80 bytes for each.
+SET_BYTES = 1 << 19
 #: Distinct sets that a task remembers, so that copies are sent on once.
 REMEMBERED = 4_000_000
 
@@ -62,7 +64,7 @@ def used_segments(start: int) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, seed: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, shingles, document of each) for runs of documents; shingles are distinct 64-bit hashes, by document."""
-    for shard in shards(column):
+    for shard in shards(column, SET_BYTES):
         data = LOWER[shard.data]
         starts, ends = words(data, NONSPACE)
         doc = shard.doc_of(starts)
@@ -406,7 +408,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def grouped_rows(docs: DataFrame) -> DataFrame:
     """The rows of `near_duplicates` with `mark`, the xxhash64 of the text, and `group`, a number of the component that does not
     rest on ids; null for texts without words."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for seed in range(4):
         join = Join(docs, seed)

@@ -2,15 +2,17 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import corpus
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leafmart.llm import hard_negatives, queries, spelling, toxicity
+from leafmart.llm import hard_negatives, jaccard, queries, spelling, toxicity
 
 # --- hard negatives --------------------------------------------------------------------------------------------------
 
@@ -294,3 +296,14 @@ def test_smallest_encoding_is_chosen():
         best, second = sorted(sizes.items(), key=lambda x: (x[1], x[0]))[:2]
         lang, score, rejected = model.predict(text)
         assert lang == best[0] and rejected == ((second[1] - best[1]) / second[1] < language.MARGIN) and 0.5 <= score <= 1
+
+
+def test_sets_of_large_batches_take_little_memory():
+    """The arrays of a step follow SET_BYTES, not the batch."""
+    rng = random.Random(3)
+    column = pa.array([" ".join(rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(400)) for _ in range(1500)])
+    tracemalloc.start()
+    jaccard.features(column, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leafmart.llm import hard_negatives, jaccard, queries, spelling, toxicity
+from leafmart.llm import hard_negatives, jaccard, queries, spelling, suffix_dedup, toxicity
 
 # --- hard negatives --------------------------------------------------------------------------------------------------
 
@@ -307,3 +307,22 @@ def test_sets_of_large_batches_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 << 20
+
+
+def test_refinement_ends_at_the_length(monkeypatch):
+    """Strings of a length are told apart without sorting blocks further than that, whatever they have in common."""
+    depths, refine = [], suffix_dedup.refine
+
+    def noted(keys, depth=None, step=1):
+        depths.append(depth)
+        return refine(keys, depth, step)
+
+    monkeypatch.setattr(suffix_dedup, "refine", noted)
+    rng = random.Random(8)
+    for length in (1, 3, 7, 8, 9, 12, 16, 31, 40):
+        blocks = [bytes(rng.choices(b"abc", [8, 8, 1], k=rng.randrange(length, 5 * length))) for _ in range(6)] + [b"a" * 4 * length]
+        blocks.append(blocks[0])
+        count = Counter(b[i : i + length] for b in blocks for i in range(len(b) - length + 1))
+        want = [[i for i in range(len(b) - length + 1) if count[b[i : i + length]] > 1] for b in blocks]
+        assert [f.tolist() for f in suffix_dedup.repeated_starts(blocks, length)] == want
+        assert depths[-1] is not None and depths[-1] <= length

@@ -147,3 +147,25 @@ def test_chain_of_similar_names_alternates(spark):
     names = ["abcdefghij", "abcdefghi", "abcdefgh", "abcdefg", "abcdef", "abcde", "zzzz"]
     got = {r["name"]: r["leader"] for r in b.leader_clusters(spark.createDataFrame([(n,) for n in names], "name string"), 0.94).collect()}
     assert got == {"abcdefghij": "abcdefghij", "abcdefghi": "abcdefghij", "abcdefgh": "abcdefgh", "abcdefg": "abcdefg", "abcdef": "abcdef", "abcde": "abcde", "zzzz": "zzzz"}
+
+
+def test_names_meet_leaders_not_all_names(spark, monkeypatch):
+    """Bands give the clusters of a greedy pass over all names, and far fewer names meet than in one comparison of all."""
+    rng = random.Random(21)
+    pool = names(rng, 420) + ["Abİcdef", "ABICDEF", "abcdeg", "Abcdeg"]
+    want, leaders = {}, []
+    for name in sorted(set(pool), key=lambda x: (-len(x), x.encode())):
+        want[name] = next((x for x in leaders if SequenceMatcher(None, name.lower(), x.lower()).ratio() >= 0.80), name)
+        leaders += [name] * (want[name] == name)
+    met, similar = [], b.similar_pairs
+
+    def counted(left, right, *more, **named):
+        met.append(left.count() * right.count())
+        return similar(left, right, *more, **named)
+
+    monkeypatch.setattr(b, "similar_pairs", counted)
+    monkeypatch.setattr(b, "BAND", 60, raising=False)
+    monkeypatch.setattr(b, "SETTLED_AT_ONCE", 20, raising=False)
+    got = {r["name"]: r["leader"] for r in b.leader_clusters(spark.createDataFrame([(x,) for x in pool], "name string"), 0.80).collect()}
+    assert got == want and len(leaders) < 0.8 * len(want)
+    assert len(met) > 8 and sum(met) < 0.6 * len(want) ** 2

@@ -169,3 +169,21 @@ def test_names_meet_leaders_not_all_names(spark, monkeypatch):
     got = {r["name"]: r["leader"] for r in b.leader_clusters(spark.createDataFrame([(x,) for x in pool], "name string"), 0.80).collect()}
     assert got == want and len(leaders) < 0.8 * len(want)
     assert len(met) > 8 and sum(met) < 0.6 * len(want) ** 2
+
+
+def test_address_and_label_lines_are_read_in_the_row(spark, monkeypatch):
+    """Odd addresses and cards give the same brand in the row, where nothing is joined, and by joins."""
+    rng = random.Random(33)
+    bits = ["/product/", "/products/", "/brands/", "kiva", "Kiva-Lost-Farm", "raw-garden", "stiiizy", "-", "/", "?", "brand=", "&", "kiva-bar-10", "&shine", "dr.-zodiak", " ", "\n", "\r", "shop", " "]
+    lines = ["Kiva", " kiva. ", "STIIIZY", "Raw Garden", "|ama|", "kiva confections", "Kiva bar", "", "Haze:", "x" * 31]
+    rows = [(str(i), rng.choice(["", "", None, "Kiva", "Haze"]), "".join(rng.choice(bits) for _ in range(rng.randrange(0, 9))) if i % 9 else None,
+             "\n".join(rng.choice(lines) for _ in range(rng.randrange(0, 5))) if i % 7 else None, rng.choice(["x", "stiiizy pod", None]), rng.choice(["", "by ama", None])) for i in range(500)]
+    cards = spark.createDataFrame(rows, "id string, scraped_brand string, product_url string, raw_text string, name string, card string")
+    known = terms(spark).localCheckpoint()
+    in_row = b.resolve_brand(cards, known)
+    plan = in_row._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    one = {r["id"]: r["brand"] for r in in_row.collect()}
+    monkeypatch.setattr(b, "TRIE_TERMS", 0)
+    two = {r["id"]: r["brand"] for r in b.resolve_brand(cards, known).collect()}
+    assert one == two and len({x for x in one.values() if x}) >= 6

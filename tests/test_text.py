@@ -54,3 +54,14 @@ def test_subtypes(spark):
     df = df.withColumn("r", t.classify_product(F.col("n"), F.col("b"), F.col("c"), F.col("w")))
     bad = df.filter("NOT (r.product_subtype <=> sub) OR NOT (r.corrected_category <=> cat)").collect()
     assert bad == []
+
+
+def test_shared_steps_of_a_card_are_computed_once(spark):
+    """Infusion and pack are looked for once a name; a card is cut at the same places as by the whole pattern, and squeezed the same."""
+    names = spark.createDataFrame([("Infused 2pk", "", "flower", 1.0)], "n string, b string, c string, w double")
+    plan = names.select(t.classify_product(F.col("n"), F.col("b"), F.col("c"), F.col("w")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("caviar") <= 1 and plan.count("multi[- ]?pack") <= 1
+    cards = ["Kush\nSpecial Offers\n(1) 2/$40 other", "a  b\t\tc\n d \x0b", "Any two for 3", "3 for $20", "$5 1/8 oz\nget any", "many\nalso included: x", "Deal : 4", "xoffer shop", "offer shop now\nkeep", "", "ſelect $5 bundle"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(cards)], "i int, x string")
+    same = df.filter((t.strip_offer_text(F.col("x")) == F.trim(F.regexp_replace("x", t.OFFER_PATTERN, ""))) & (t.squeeze(F.col("x")) == F.trim(F.regexp_replace("x", r"\s+", " "))))
+    assert same.count() == len(cards)

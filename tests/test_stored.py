@@ -55,3 +55,26 @@ def test_shop_filters_reach_the_scan(spark, tmp_path):
     pushed = got._jdf.queryExecution().toString().split("PushedFilters: [")[1].split("ReadSchema")[0]
     assert "dispensary_id" in pushed and "LessThanOrEqual(sale_price,30.0)" in pushed and "category" in pushed
     spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_buckets_are_written_in_turns(spark, tmp_path, monkeypatch):
+    """No turn merges all buckets, and the table is that of one merge; order and values of a row are one struct in the shuffle."""
+    rows = [(i % 70, f"k{i % 40}" if i % 11 else None, i, float(i % 7), i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "a long, b string, id long, price double, created long")
+    old, new = df.filter("id < 250"), df.filter("id >= 250")
+    want = stored.upsert(stored.upsert(old.limit(0), old, ["a", "b"], "id", ["created"]), new, ["a", "b"], "id", ["created"])
+    plan = want._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "min_by" not in plan
+    by_hand: dict = {}
+    for a, b_, i, price, created in rows:
+        by_hand[a, b_] = (i, price, by_hand.get((a, b_), (0, 0, created))[2])
+    last_old = {(a, b_): created for a, b_, i, _, created in reversed(rows) if i < 250}
+    first_new = {(a, b_): created for a, b_, i, _, created in reversed(rows) if i >= 250}
+    assert {(r["a"], r["b"]): (r["id"], r["price"], r["created"]) for r in want.collect()} == {
+        k: (i, p, last_old.get(k, first_new.get(k))) for k, (i, p, _) in by_hand.items()}
+    path, merged, upsert = str(tmp_path / "t"), [], stored.upsert
+    stored.create_table(upsert(old.limit(0), old, ["a", "b"], "id", ["created"]), path, ["a", "b"], 8)
+    monkeypatch.setattr(stored, "upsert", lambda target, *more: merged.append(target.select("_bucket").distinct().count()) or upsert(target, *more))
+    touched = stored.upsert_buckets(path, new, ["a", "b"], "id", ["created"], 8)
+    assert len(touched) == 8 and max(merged) == 2 and len(merged) == 4
+    assert sorted(map(str, stored.read_table(spark, path).select(*want.columns).collect())) == sorted(map(str, want.collect()))

@@ -100,3 +100,28 @@ def test_forced_picks_read_the_offers_twice(spark):
     needed = spark.createDataFrame([("oasis", 4)], "dispensary_id string, n_needed int")
     got = ranking.guaranteed_picks(known, ["dispensary_id"], needed).collect()
     assert len(got) == 4 and {r["category"] for r in got} == {"flower", "edible"} and reads.value <= 2 * len(rows)
+
+
+def _day_of_offers(spark):
+    rows = [(f"o{i:03d}", f"s{i % 7}", f"Green Offer {i % 23}", ["Acme", "Bolt", None][i % 3], ["flower", "vape", "edible", "other"][i % 4], 40.0 + i % 5, 20.0 + i % 9, 50.0, 3.5, None, "west", f"2024-01-0{i % 3 + 1}") for i in range(260)]
+    return spark.createDataFrame(rows, "id string, dispensary_id string, name string, brand string, category string, original_price double, sale_price double, discount_percent double, weight_value double,"
+                                 " product_subtype string, region string, run_date string").withColumn("source_platform", F.lit("dutchie"))
+
+
+def test_flags_join_stored_picks_only(spark):
+    """Forced picks are a table when all listings meet their flags: no rank is left in that plan, so no shuffle of it lies on disk."""
+    plan = selection.detect_deals(_day_of_offers(spark), ["run_date", "dispensary_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+
+
+def test_offers_of_a_store_are_dealt_once(spark):
+    """After the first of each key, the limits of a store's offers share one exchange; forced picks share one after their ranks."""
+    offers = _day_of_offers(spark).withColumn("deal_score", F.lit(50))
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    store, region = (exchanges(selection.candidates(offers, g, 24)) for g in (["run_date", "dispensary_id"], ["run_date", "region"]))
+    assert store <= region - 2
+    needed = offers.select("run_date", "dispensary_id").distinct().withColumn("n_needed", F.lit(3))
+    picks = ranking.guaranteed_picks(offers, ["run_date", "dispensary_id"], needed)
+    assert "LeftAnti" not in picks._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in picks.groupBy("run_date", "dispensary_id").agg(F.count("*"), F.countDistinct("name", "sale_price")).collect()]
+    assert len(got) == 21 and all(n == names == 3 for _, _, n, names in got)

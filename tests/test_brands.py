@@ -187,3 +187,19 @@ def test_address_and_label_lines_are_read_in_the_row(spark, monkeypatch):
     monkeypatch.setattr(b, "TRIE_TERMS", 0)
     two = {r["id"]: r["brand"] for r in b.resolve_brand(cards, known).collect()}
     assert one == two and len({x for x in one.values() if x}) >= 6
+
+
+def test_stored_names_are_not_compared_again(spark, monkeypatch):
+    """A name that is a stored leader keeps itself without a comparison; only the others meet the leaders."""
+    met, similar = [], b.similar_pairs
+
+    def counted(left, right, *more, **named):
+        met.append(sorted(r[0] for r in left.collect()))
+        return similar(left, right, *more, **named)
+
+    monkeypatch.setattr(b, "similar_pairs", counted)
+    stored = spark.createDataFrame([("Mellow Fields",), ("Quartz",), ("Mellow Fieldss",)], "name string")
+    seen = spark.createDataFrame([("Mellow Fields",), ("Quartz",), ("Mellow Feilds",), ("Oddity",)], "name string")
+    got = {r["name"]: r["leader"] for r in b.clusters_with(seen, stored, 0.80).collect()}
+    assert got == {"Mellow Fields": "Mellow Fields", "Quartz": "Quartz", "Mellow Feilds": "Mellow Fieldss", "Oddity": "Oddity"}
+    assert met[0] == ["mellow feilds", "oddity"]
